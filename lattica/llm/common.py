@@ -6,11 +6,13 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Hashes that rank rows lie from 0 to this.
+HASH_SPAN = 1 << 62
 #: The same mapping for bytes.translate.
 LOWER_BYTES = bytes(range(65)) + LOWER.encode() + bytes(range(91, 256))
 
@@ -64,3 +66,20 @@ def strings_as_bytes(column: pa.Array) -> list[bytes | None]:
 def arrow_rows(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     """A record batch from one sequence for each field."""
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def rank_within(rows: DataFrame, stratum: str, order: list[str], total: int, bucket_rows: int = 20_000, most_buckets: int = 4096) -> DataFrame:
+    """rows with _rank (from 0) and _all (rows of the stratum), ranked by _hash, then order, within each stratum.
+
+    rows must be a written copy (see cut) with a column _hash spread evenly over 0 to 2^62 - 1. No task sees a whole
+    stratum: the hash is cut into buckets, counts of buckets are summed up, and only a bucket's rows are numbered together.
+    """
+    buckets = max(1, min(most_buckets, -(-total // bucket_rows)))
+    dealt = rows.withColumn("_bucket", F.floor(F.col("_hash") / (HASH_SPAN / buckets)).cast("int"))
+    counts = dealt.groupBy(F.col(stratum).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("_s")
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_s", "_b", before.alias("_before"), F.sum("_n").over(own).alias("_all"))
+    joined = dealt.join(counts, dealt[stratum].eqNullSafe(counts["_s"]) & (dealt["_bucket"] == counts["_b"]))
+    within = Window.partitionBy(stratum, "_bucket").orderBy("_hash", *order)
+    return joined.withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1).drop("_s", "_b", "_before", "_bucket")

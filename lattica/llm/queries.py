@@ -15,6 +15,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=8, min_items=2).drop("item_ids")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.simhash import near_duplicates
 
@@ -29,7 +41,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_sharding, op8_simhash_near_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_sharding, op6_decontamination, op8_simhash_near_dedup, op10_url_filters)}
 
 
 OP10_SQL = """

@@ -13,14 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
-
-_SPAN = 1 << 62
-
-
-def _before(counts: DataFrame, n: str, over) -> DataFrame:
-    return counts.withColumn("_before", F.coalesce(F.sum(n).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
+from lattica.llm.common import HASH_SPAN, cut, rank_within
 
 def interleave(rows: DataFrame, key: str, stratum: str, shards: int, seed: int = 0, bucket_rows: int = 20_000, most_buckets: int = 4096) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard); sizes differ by one at most.
@@ -29,21 +22,16 @@ def interleave(rows: DataFrame, key: str, stratum: str, shards: int, seed: int =
     rows are kept and numbered one after the other; with fewer rows than shards some shards stay empty.
     """
     # one written copy: every pass below must see the same rows in the same buckets
-    keyed = cut(rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(_SPAN - 1)))
+    keyed = cut(rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(HASH_SPAN - 1)))
     total = keyed.count()
     buckets = max(1, min(most_buckets, -(-total // bucket_rows)))
-    dealt = keyed.withColumn("_bucket", F.floor(F.col("_hash") / (_SPAN / buckets)).cast("int"))
-    by_source = Window.partitionBy(stratum).orderBy("_bucket")
-    counts = _before(dealt.groupBy(stratum, "_bucket").agg(F.count("*").alias("_n")), "_n", by_source)
-    counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(stratum))).drop("_n").select(F.col(stratum).alias("_s"), F.col("_bucket").alias("_b"), "_before", "_all")
-    joined = dealt.join(counts, dealt[stratum].eqNullSafe(counts["_s"]) & (dealt["_bucket"] == counts["_b"]))
-    in_bucket = Window.partitionBy(stratum, "_bucket").orderBy("_hash", key)
-    rank = F.col("_before") + F.row_number().over(in_bucket) - F.lit(0.5)
-    placed = cut(joined.withColumn("_fraction", rank / F.col("_all")).drop("_s", "_b", "_before", "_all", "_bucket"))
+    ranked = rank_within(keyed, stratum, [key], total, bucket_rows, most_buckets)
+    placed = cut(ranked.withColumn("_fraction", (F.col("_rank") + F.lit(0.5)) / F.col("_all")).drop("_rank", "_all"))
     dealt = placed.withColumn("_bucket", F.least(F.floor(F.col("_fraction") * buckets).cast("int"), F.lit(buckets - 1)))
     # one row a bucket, most_buckets at most, so a single task may sum them up
-    counts = _before(dealt.groupBy("_bucket").agg(F.count("*").alias("_n")), "_n", Window.partitionBy(F.lit(0)).orderBy("_bucket"))
-    joined = dealt.join(F.broadcast(counts.select("_bucket", "_before")), "_bucket")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = dealt.join(F.broadcast(counts), "_bucket")
     order = Window.partitionBy("_bucket").orderBy("_fraction", F.xxhash64(F.lit(seed), F.col(stratum)), "_hash", key)
     at = (F.col("_before") + F.row_number().over(order) - 1).cast("long")
     # row i goes to shard floor(i * shards / total), whose first row is ceil(shard * total / shards)
