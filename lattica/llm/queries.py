@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table
+from lattica.llm.common import table, text_crc32_mod
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = text_crc32_mod("doc_id", 4) == 2
+    out = identify(docs.select("doc_id", "text"), fit(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +24,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.decontamination import decontaminate
 
@@ -33,6 +54,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, bits=2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.toxicity import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = text_crc32_mod("doc_id", 3) == 1
+    out = score_texts(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.url_filters import Rule, filter_urls
 
@@ -41,7 +71,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_sharding, op6_decontamination, op8_simhash_near_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_language_id, op4_sharding, op5_html_extraction, op6_decontamination, op8_simhash_near_dedup, op9_toxicity, op10_url_filters)}
 
 
 OP10_SQL = """
