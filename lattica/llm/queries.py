@@ -48,6 +48,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=8, min_items=2).drop("item_ids")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.lm_scoring import score_documents
+
+    held_out = text_crc32_mod("doc_id", 5) == 1
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.simhash import near_duplicates
 
@@ -71,7 +79,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_language_id, op4_sharding, op5_html_extraction, op6_decontamination, op8_simhash_near_dedup, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_language_id, op4_sharding, op5_html_extraction, op6_decontamination, op7_lm_scoring, op8_simhash_near_dedup, op9_toxicity, op10_url_filters)}
 
 
 OP10_SQL = """
