@@ -119,3 +119,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 8, min_items: int
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_items = F.size(ids).cast("long")
     return out.select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"), ids.alias("item_ids"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 8, min_items: int = 1) -> DataFrame:
+    """docs without those in which k-word windows of min_items or more items occur; all their columns and rows else."""
+    index = PositionalIndex(docs, items, k)
+    owned = index.matches().select("doc", "txt", "wid").distinct().join(index.members, "wid").select("doc", "txt", index.item_key).distinct()
+    bad = owned.groupBy("doc", "txt").agg(F.count("*").alias("n")).where(F.col("n") >= min_items)
+    bad = cut(bad.select(F.col("doc").alias("_doc"), F.col("txt").alias("_txt")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & F.xxhash64(docs["text"]).eqNullSafe(bad["_txt"]), "left_anti")

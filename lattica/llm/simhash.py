@@ -146,23 +146,32 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _links(bits: int):
-    """For rows sorted by bucket: (a, b) pairs that span the links found within each bucket, no more than its rows."""
+def _links(bits: int, alike: float, near_rows: int):
+    """For rows sorted by bucket: (a, b) pairs of nodes that span the links found within each bucket.
 
-    def within(fp: np.ndarray, bucket: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, a, b = len(fp), [], []
+    With sketches, a link needs alike of their values equal, and all links of rows less than near_rows apart are given too.
+    """
+
+    def within(fp: np.ndarray, bucket: np.ndarray, probe: np.ndarray, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        n, a, b, extra = len(fp), [], [], []
         label, step, live = np.arange(n), 1, np.arange(n)
         while len(live := live[live + step < n]) and len(live := live[bucket[live] == bucket[live + step]]):
             near = (np.bitwise_count(fp[live] ^ fp[live + step]) <= bits) & (probe[live] | probe[live + step])
-            a.append(live[near])
-            b.append(live[near] + step)
+            hit = live[near]
+            if sketch is not None and len(hit):
+                hit = hit[(sketch[hit] == sketch[hit + step]).mean(axis=1) >= alike]
+                if step < near_rows:
+                    extra.append((hit, hit + step))
+            a.append(hit)
+            b.append(hit + step)
             step += 1
             if sum(map(len, a)) > 1 << 20:  # fold the pairs so far into one spanning forest
                 label = _forest(np.concatenate([*a, np.arange(n)]), np.concatenate([*b, label]), n)
                 a, b = [], []
         label = _forest(np.concatenate([*a, np.arange(n)]), np.concatenate([*b, label]), n)
         at = np.flatnonzero(label != np.arange(n))
-        return fp[at], fp[label[at]]
+        pairs = [(at, label[at]), *extra]
+        return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -181,19 +190,23 @@ def _links(bits: int):
 
     def out(pdf: pd.DataFrame, mask: np.ndarray, value: np.ndarray) -> pd.DataFrame:
         bucket = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))])
-        a, b = within(pdf["fp"].to_numpy(np.int64).view(np.uint64), bucket, pdf["probe"].to_numpy(bool))
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        blobs = pdf["sketch"].to_numpy()
+        sketch = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1) if blobs[0] is not None else None
+        a, b = within(pdf["fp"].to_numpy(np.int64).view(np.uint64), bucket, pdf["probe"].to_numpy(bool), sketch)
+        node = pdf["node"].to_numpy(np.int64)
+        return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
 
     return run
 
 
-def near_links(distinct: DataFrame, bits: int, partitions: int | None = None, bucket_rows: int = 2048) -> DataFrame:
-    """(a, b) fingerprints that differ in 1 to bits bits, enough of them to span every group of linked fingerprints.
+def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucket_rows: int = 2048, alike: float = 0.0, near_rows: int = 16) -> DataFrame:
+    """(a, b) nodes whose fingerprints differ in bits bits or fewer, enough of them to span every group of linked nodes.
 
-    distinct: one row for each different fingerprint, column fp. No link is lost; links that others imply may be left out.
+    nodes: different (node, fp, sketch); sketch is a null or a run of bytes of one length. No link is lost; links that
+    others imply may be left out.
     """
     parts, units = partitions or bits + 1, bits + 1
-    fps = cut(distinct.select("fp"))
+    fps = cut(nodes.select("fp", "node", "sketch"))
     masks = bit_groups(fps, parts)
     n = max(1, fps.count())
     own = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
@@ -206,6 +219,7 @@ def near_links(distinct: DataFrame, bits: int, partitions: int | None = None, bu
     def probes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            node, sketch = pdf["node"].to_numpy(), pdf["sketch"].to_numpy()
             here = np.nan_to_num(pdf[[f"n{i}" for i in range(parts)]].to_numpy(np.float64), nan=1.0)
             cost = np.zeros((len(fp), parts, units + 1))
             around = np.ones(parts)
@@ -217,22 +231,23 @@ def near_links(distinct: DataFrame, bits: int, partitions: int | None = None, bu
             for i, m in enumerate(masks):
                 hit = limits[:, i] >= 0
                 signed = np.int64(_signed(m))
-                yield pd.DataFrame({"fp": fp.view(np.int64), "mask": signed, "value": (fp & np.uint64(m)).view(np.int64), "probe": hit})
+                yield pd.DataFrame({"fp": fp.view(np.int64), "node": node, "sketch": sketch, "mask": signed, "value": (fp & np.uint64(m)).view(np.int64), "probe": hit})
                 for t in range(1, units):
-                    wide = fp[limits[:, i] == t]
+                    far = limits[:, i] == t
+                    wide = fp[far]
                     for flip in _flips(m, t) if len(wide) else ():
-                        yield pd.DataFrame({"fp": wide.view(np.int64), "mask": signed, "value": ((wide & np.uint64(m)) ^ flip).view(np.int64), "probe": True})
+                        yield pd.DataFrame({"fp": wide.view(np.int64), "node": node[far], "sketch": sketch[far], "mask": signed, "value": ((wide & np.uint64(m)) ^ flip).view(np.int64), "probe": True})
 
     filled = fps.join(counts, "fp", "left")
     # probe rows meet the fingerprints in the bucket they probe; a row of its own bucket is both
-    keyed = cut(filled.mapInPandas(probes, "fp long, mask long, value long, probe boolean"))
+    keyed = cut(filled.mapInPandas(probes, "fp long, node long, sketch binary, mask long, value long, probe boolean"))
     found = None
     for _ in range(BITS):
         sizes = keyed.groupBy("mask", "value").agg(F.count("*").alias("n"), F.max("probe").alias("p")).where("n > 1 and p")
         loads = cut(sizes)
         small = keyed.join(loads.where(F.col("n") <= bucket_rows).select("mask", "value"), ["mask", "value"])
         dealt = small.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
-        links = dealt.mapInPandas(_links(bits), "a long, b long")
+        links = dealt.mapInPandas(_links(bits, alike, near_rows), "a long, b long")
         found = links if found is None else found.unionAll(links)
         big = loads.where(F.col("n") > bucket_rows)
         fixed = [r["mask"] for r in big.select("mask").distinct().collect()]  # a few masks, not buckets
@@ -243,7 +258,7 @@ def near_links(distinct: DataFrame, bits: int, partitions: int | None = None, bu
         # a probe row sits in a bucket whose fixed bits are not all its own: it keeps those, and adds its own of the rest
         deeper = held.withColumn("_m", F.explode(finer[F.col("mask")]))
         value = F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.col("_m").bitwiseXOR(F.col("mask"))))
-        keyed = cut(deeper.select("fp", F.col("_m").alias("mask"), value.alias("value"), "probe"))
+        keyed = cut(deeper.select("fp", "node", "sketch", F.col("_m").alias("mask"), value.alias("value"), "probe"))
     return found.where("a <> b").distinct()
 
 
@@ -255,10 +270,87 @@ def near_duplicates(docs: DataFrame, k: int = 5, bits: int = 2, key: str = "doc_
     """
     prints = cut(fingerprints(docs, k, key, text))
     nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    links = near_links(nodes, bits)
+    links = near_links(nodes.select("fp", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("sketch")), bits)
     classes = connected_components(links)
     labelled = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(least, "component").select("fp", "component_id")
     out = prints.join(by_print, "fp")
     return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_SKETCH = 96
+
+
+def _sketch(grams: np.ndarray) -> bytes:
+    """The low byte of the least of each of so many multiplicative hashes of the shingles."""
+    odd = (np.arange(1, _SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    least = np.full(_SKETCH, np.uint64(_FULL))
+    for at in range(0, len(grams), 4096):
+        h = grams[at : at + 4096, None] * odd
+        h ^= h >> np.uint64(31)
+        np.minimum(least, (h * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0), out=least)
+    return (least >> np.uint64(56)).astype(np.uint8).tobytes() if len(grams) else bytes(_SKETCH)
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id): documents linked if their sets of k-word shingles have a Jaccard similarity of at least similarity.
+
+    Candidates are pairs whose fingerprints over their different words differ in bits bits or fewer (near copies share
+    almost all words) and whose sketches look alike; every pair kept is verified on the whole sets. Equal sets are one
+    node. In buckets of more than 16 mutually alike documents the candidates are a spanning forest and each document's
+    nearest rows, not all pairs. Wordless and null texts are equal to each other; rows without a key are left out.
+    """
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("digest", pa.int64()), ("sketch", pa.binary())])
+
+    def hashed(raw: bytes | None) -> np.ndarray:
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in shingles(raw, k)), np.uint64))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1 << 23):
+            out = []
+            for raw in strings_as_bytes(batch.column(1)):
+                grams = hashed(raw)
+                out.append((fingerprint(sorted(set((raw or b"").translate(LOWER_BYTES).split()))), xxhash.xxh64_intdigest(grams.tobytes(), 1), _sketch(grams)))
+            fps, digests = (np.array([o[i] for o in out], np.uint64).view(np.int64) for i in (0, 1))
+            yield arrow_rows(schema, (batch.column(0).cast(pa.int64()), fps, digests, [o[2] for o in out]))
+
+    rows = docs.where(F.col(key).isNotNull())
+    prints = cut(rows.select(key, text).mapInArrow(run, "key long, fp long, digest long, sketch binary"))
+    nodes = cut(prints.groupBy("fp", "digest").agg(F.min("key").alias("node"), F.first("sketch").alias("sketch")))
+    links = cut(near_links(nodes, bits, alike=max(0.0, similarity - 0.15)))
+
+    sets = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+
+    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1 << 22):
+            yield arrow_rows(sets, (batch.column(0).cast(pa.int64()), [hashed(raw).tobytes() for raw in strings_as_bytes(batch.column(1))]))
+
+    def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            good = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both))
+            yield pdf.loc[good, ["a", "b"]]
+
+    linked = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+    # a repeated key gives one row here
+    texts = rows.select(F.col(key).alias("node"), F.col(text).alias("t")).join(linked, "node", "left_semi").mapInArrow(gather, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+    texts = cut(texts)
+    paired = links.join(texts.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    edges = paired.mapInPandas(verify, "a long, b long")
+    classes = connected_components(edges)
+    labelled = nodes.join(classes, "node", "left").select("fp", "digest", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(labelled, ["fp", "digest"]).select(F.col("key").alias(key), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each class of near copies, the one with the smallest key. Rows without a key all stay."""
+    classes = cut(near_copies(docs, k, similarity, bits, key, text))
+    stay = classes.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    out = docs.join(stay, key, "left_semi")
+    if classes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        out = out.dropDuplicates([key])
+    return out.unionAll(docs.where(F.col(key).isNull()))
