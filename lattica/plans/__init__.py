@@ -1,0 +1 @@
+"""Frames, series and selectors: plans over labelled rows."""
