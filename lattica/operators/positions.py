@@ -52,7 +52,9 @@ def occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
         same = same & cut[k].eqNullSafe(counts[f"__k_{i}"])
     joined = cut.join(counts if keys else F.broadcast(counts), same)
     within = Window.partitionBy(*keys, "__range").orderBy("__pos")
-    return joined.withColumn(name, (F.col("__before") + F.row_number().over(within)).cast("int" if keys else "bigint")).drop("__range", "__r", "__before", *(f"__k_{i}" for i in range(len(keys))))
+    numbered = joined.withColumn(name, (F.col("__before") + F.row_number().over(within)).cast("int" if keys else "bigint"))
+    own = ["__pos"] if keys and "__pos" not in df.columns else []
+    return numbered.drop("__range", "__r", "__before", *(f"__k_{i}" for i in range(len(keys))), *own)
 
 
 def dense(df: DataFrame, order: Sequence[str], name: str = "__at") -> DataFrame:
