@@ -273,10 +273,23 @@ class _Block:
         return np.unique((self.context[self.of] << id_bits) | self.word[self.of], return_inverse=True)
 
 
-def _pair_shards(pairs: np.ndarray, context_total: np.ndarray, id_bits: int, hot: int, shards: int) -> np.ndarray:
-    """A context goes to one shard, one met more than hot times to several, by its successors."""
-    context, word = pairs >> id_bits, pairs & ((1 << id_bits) - 1)
-    return _shards_of(context * 64 + word % np.minimum(64, 1 + context_total // hot), shards)
+def _asked(block: _Block, pairs: np.ndarray, id_bits: int, hot: int, shards: int) -> tuple[np.ndarray, ...]:
+    """What a block asks: (keys, totals of their contexts, runs of their contexts, order by shard and key, cuts of shards).
+
+    A context goes to one shard; one met more than hot times to several, by its successors, and is asked for in each of
+    them (as a pair with successor 0, which no word has), so that its mass comes back whole. The pairs come first in keys.
+    """
+    context, total = pairs >> id_bits, _context_totals(block, pairs, id_bits)
+    run = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+    parts = np.minimum(64, 1 + total // hot)
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]) & (parts > 1)) if len(pairs) else np.zeros(0, np.int64)
+    each = np.repeat(first, parts[first])
+    sub = np.arange(len(each)) - np.repeat(np.cumsum(parts[first]) - parts[first], parts[first])
+    key = np.concatenate([pairs, context[each] << id_bits])
+    part = np.concatenate([(pairs & ((1 << id_bits) - 1)) % parts, sub])
+    shard = _shards_of((key >> id_bits) * 64 + part, shards)
+    order = np.lexsort((key, shard))
+    return key, np.concatenate([total, total[each]]), np.concatenate([run, run[each]]), order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 def _context_totals(block: _Block, pairs: np.ndarray, id_bits: int) -> np.ndarray:
@@ -292,16 +305,13 @@ def _pair_requests(shards: int, word_shards: int, bases: np.ndarray, id_bits: in
                 block = _Block(row, word_shards, bases)
                 pairs, place = block.pairs(id_bits)
                 trained = np.repeat(block.training, block.lengths)[block.of]
-                counts = np.bincount(place[trained], minlength=len(pairs)).astype(np.uint32)
-                total = _context_totals(block, pairs, id_bits)
-                shard = _pair_shards(pairs, total, id_bits, hot, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                key, total, _, order, cuts = _asked(block, pairs, id_bits, hot, shards)
+                counts = np.bincount(place[trained], minlength=len(key)).astype(np.uint32)
                 rows = []
                 for s in range(shards):
                     p = order[cuts[s] : cuts[s + 1]]
                     if len(p):
-                        own = pairs[p]
+                        own = key[p]
                         new = np.concatenate([[True], own[1:] >> id_bits != own[:-1] >> id_bits])
                         rows.append((s, row.block, pack(np.diff(own, prepend=0)), pack(counts[p]), pack(total[p][new])))
                 if rows:
@@ -351,19 +361,14 @@ def _scores(shards: int, word_shards: int, bases: np.ndarray, id_bits: int, hot:
                 base = np.log10(p)
                 pairs, place = block.pairs(id_bits)
                 if row.pair_answers is not None and len(pairs):
-                    code, left = np.zeros(len(pairs), np.uint8), np.zeros(len(pairs))
-                    context = pairs >> id_bits
-                    run_of = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
-                    shard = _pair_shards(pairs, _context_totals(block, pairs, id_bits), id_bits, hot, shards)
-                    order = np.argsort(shard, kind="stable")
-                    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                    mass = np.zeros(int(run_of[-1]) + 1)
+                    key, _, run, order, cuts = _asked(block, pairs, id_bits, hot, shards)
+                    code, mass = np.zeros(len(key), np.uint8), np.zeros(int(run.max()) + 1)
                     for a in row.pair_answers:
                         own = order[cuts[a["shard"]] : cuts[a["shard"] + 1]]
                         code[own] = unpack(a["codes"], np.uint8)
-                        r = run_of[own]
+                        r = run[own]
                         mass[r[np.concatenate([[True], r[1:] != r[:-1]])]] += unpack(a["masses"], np.uint16) / _MASS
-                    left = 1 - np.minimum(1, mass)[run_of]
+                    left = 1 - np.minimum(1, mass)[run]
                     p[block.of] = VALUES[code[place]] + np.maximum(left[place], 1e-4) * p[block.of]
                 starts = np.cumsum(block.lengths) - block.lengths
                 yield pd.DataFrame(
