@@ -132,7 +132,7 @@ def _flips(mask: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(1, radius + 1) for c in combinations(bits, r)], np.uint64)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Label of each of n rows: the smallest row reachable over the pairs (a, b)."""
     label = np.arange(n)
     while True:
@@ -146,6 +146,22 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (a, b) of n rows to keep so that they still connect what all of them connect (Boruvka)."""
+    part, kept = np.arange(n), []
+    while True:
+        pa, pb = part[a], part[b]
+        live = np.flatnonzero(pa != pb)
+        if not len(live):
+            return np.unique(np.concatenate(kept)) if kept else live
+        first = np.full(n, len(a))
+        np.minimum.at(first, pa[live], live)
+        np.minimum.at(first, pb[live], live)
+        pick = np.unique(first[first < len(a)])
+        kept.append(pick)
+        part = _labels(pa[pick], pb[pick], n)[part]
+
+
 def _links(bits: int, alike: float, near_rows: int):
     """For rows sorted by bucket: (a, b) pairs of nodes that span the links found within each bucket.
 
@@ -154,7 +170,7 @@ def _links(bits: int, alike: float, near_rows: int):
 
     def within(fp: np.ndarray, bucket: np.ndarray, probe: np.ndarray, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         n, a, b, extra = len(fp), [], [], []
-        label, step, live = np.arange(n), 1, np.arange(n)
+        step, live = 1, np.arange(n)
         while len(live := live[live + step < n]) and len(live := live[bucket[live] == bucket[live + step]]):
             near = (np.bitwise_count(fp[live] ^ fp[live + step]) <= bits) & (probe[live] | probe[live + step])
             hit = live[near]
@@ -166,11 +182,12 @@ def _links(bits: int, alike: float, near_rows: int):
             b.append(hit + step)
             step += 1
             if sum(map(len, a)) > 1 << 20:  # fold the pairs so far into one spanning forest
-                label = _forest(np.concatenate([*a, np.arange(n)]), np.concatenate([*b, label]), n)
-                a, b = [], []
-        label = _forest(np.concatenate([*a, np.arange(n)]), np.concatenate([*b, label]), n)
-        at = np.flatnonzero(label != np.arange(n))
-        pairs = [(at, label[at]), *extra]
+                x, y = np.concatenate(a), np.concatenate(b)
+                keep = _forest(x, y, n)
+                a, b = [x[keep]], [y[keep]]
+        x, y = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (a, b))
+        keep = _forest(x, y, n)
+        pairs = [(x[keep], y[keep]), *extra]
         return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,7 +367,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits:
     """docs with one document of each class of near copies, the one with the smallest key. Rows without a key all stay."""
     classes = cut(near_copies(docs, k, similarity, bits, key, text))
     stay = classes.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    out = docs.join(stay, key, "left_semi")
+    out = docs.join(stay, key, "left_semi").select(docs.columns)
     if classes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         out = out.dropDuplicates([key])
     return out.unionAll(docs.where(F.col(key).isNull()))
