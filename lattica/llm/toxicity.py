@@ -95,11 +95,12 @@ class ToxicityModel:
         return [(*s, float(x)) for s, x in zip(spans, p, strict=True) if x >= threshold]
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.1, decay: float = 3e-5, least_docs: int = 5, least_z: float = 4.0) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.1, decay: float = 1e-5, least_docs: int = 5, least_z: float = 4.0) -> ToxicityModel:
     """Fit by full-batch Adam on the noisy-or likelihood.
 
-    Only features of least_docs documents or more whose shares among toxic and clean documents differ by least_z
-    standard errors get a weight: rare words of a few documents say nothing about others.
+    Only features of least_docs documents or more whose share among toxic documents is greater by least_z standard errors
+    get a weight: rare words of a few documents say nothing about others. Weights are not negative, so that no clean word
+    excuses a toxic one.
     """
     types: dict[str, int] = {}
     words, ends, owner = [], [], []
@@ -121,7 +122,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float =
         a, c = df[1][f], df[0][f]
         both = (a + c) / (n1 + n0)
         spread = np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-        return a + c >= least_docs and spread > 0 and abs(a / n1 - c / n0) >= least_z * spread
+        return a + c >= least_docs and spread > 0 and a / n1 - c / n0 >= least_z * spread
 
     ids = {f: i for i, f in enumerate(sorted(filter(telling, df[0].keys() | df[1].keys())))}
     of_type = [[ids[f] for f in features(w) if f in ids] for w in types]
@@ -146,7 +147,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float =
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
-        w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+        w = np.maximum(0, w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-8))
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     return ToxicityModel({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-3}, float(b))
 
