@@ -8,7 +8,7 @@ the label of the nearest decided block, the article's own blocks first; headings
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -121,6 +121,23 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def _nearest(found: list[Block], order: Iterable[int]) -> dict[int, tuple[int, bool]]:
+    """For each open block the decided block met last in order: its place and label.
+
+    Blocks of an article look at its own blocks only, and not at furniture within it.
+    """
+    last: dict[int, tuple[int, bool]] = {}
+    out: dict[int, tuple[int, bool]] = {}
+    for i in order:
+        b = found[i]
+        if b.keep is not None:
+            if not (b.region and b.furniture):
+                last[b.region] = (i, b.keep)
+        elif b.region in last:
+            out[i] = last[b.region]
+    return out
+
+
 def classify(found: list[Block], long_chars: int = 70, stop_low: float = 0.15, link_high: float = 0.33) -> list[Block]:
     """Set keep on every block."""
     for b in found:
@@ -130,23 +147,10 @@ def classify(found: list[Block], long_chars: int = 70, stop_low: float = 0.15, l
             words = _WORD.findall(b.text.lower())
             if words and sum(w in STOP_WORDS for w in words) >= stop_low * len(words):
                 b.keep = True
-    decided = [(i, b.region, b.keep) for i, b in enumerate(found) if b.keep is not None]
-    # second pass: the nearest decided block before and after, within the article for its blocks
-    ahead: dict[int, tuple[int, bool]] = {}
-    after: list[tuple[int, bool] | None] = [None] * len(found)
-    before: list[tuple[int, bool] | None] = [None] * len(found)
-    for order, into in ((reversed(decided), after), (decided, before)):
-        ahead.clear()
-        known = {i: (r, k) for i, r, k in order}
-        for i in range(len(found)) if into is before else reversed(range(len(found))):
-            r = found[i].region
-            if found[i].keep is None:
-                into[i] = ahead.get(r)
-            elif not (r and known[i][1] is False and found[i].furniture):
-                ahead[r] = (i, known[i][1])
+    before, after = _nearest(found, range(len(found))), _nearest(found, reversed(range(len(found))))
     for i, b in enumerate(found):
         if b.keep is None:
-            left, right = before[i], after[i]
+            left, right = before.get(i), after.get(i)
             if left is None and right is None:
                 b.keep = b.region > 0
             elif b.heading and right is not None:

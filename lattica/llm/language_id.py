@@ -210,10 +210,10 @@ def training_sample(docs: DataFrame, learnable: Column, per_language: int = 150,
     """Texts and languages of a bounded sample: per language so many documents with a letter, chosen by a hash of their id."""
     good = learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars)
     known = docs.where(good).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # the hash bound for each language comes from a pre-aggregated minimum list, so no task sees a language whole
+    # a bound on the hash for each language leaves about four times the texts wanted, so no task sees a language whole
     share = known.groupBy("lang").agg(F.count("*").alias("n"))
     span = F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
-    thin = known.join(F.broadcast(share), "lang").where(F.col("h").cast("double") + float(1 << 63) <= span)
+    thin = known.join(share, "lang").where(F.col("h").cast("double") + float(1 << 63) <= span)
     chosen = {}
     for lang, doc, h in thin.select("lang", "doc_id", "h").collect():  # about 4 * per_language rows a language
         chosen.setdefault(lang, []).append((h, doc))

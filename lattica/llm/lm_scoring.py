@@ -200,16 +200,21 @@ def _shards_of(x: np.ndarray, shards: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(shards)).astype(np.int64)
 
 
+def _by_shard(shard: np.ndarray, order: np.ndarray) -> dict[int, np.ndarray]:
+    """The rows of each shard that has some; order sorts the rows by shard."""
+    own = shard[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return dict(zip(own[first].tolist(), np.split(order, first[1:]), strict=True)) if len(own) else {}
+
+
 def _word_requests(shards: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for row in pdf.itertuples():
                 hashes, counts = unpack(row.hashes, np.uint64), unpack(row.counts, np.uint32)
                 shard = _shards_of(hashes, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                parts = [order[cuts[s] : cuts[s + 1]] for s in range(shards)]
-                yield pd.DataFrame([(s, row.block, pack(hashes[p]), pack(counts[p])) for s, p in enumerate(parts) if len(p)], columns=["shard", "block", "hashes", "counts"])
+                parts = _by_shard(shard, np.argsort(shard, kind="stable"))
+                yield pd.DataFrame([(s, row.block, pack(hashes[p]), pack(counts[p])) for s, p in parts.items()], columns=["shard", "block", "hashes", "counts"])
 
     return run
 
@@ -247,12 +252,11 @@ class _Block:
     def __init__(self, row, shards: int, bases: np.ndarray) -> None:
         hashes = unpack(row.hashes, np.uint64)
         shard = _shards_of(hashes, shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        parts = _by_shard(shard, np.argsort(shard, kind="stable"))
         self.total, self.id = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         for a in row.answers:
             s = a["shard"]
-            p = order[cuts[s] : cuts[s + 1]]
+            p = parts[s]
             self.total[p] = unpack(a["totals"], np.int64 if a["wide"] else np.uint32)
             ids = unpack(a["ids"], np.uint32).astype(np.int64)
             self.id[p] = np.where(ids > 0, ids + bases[s], 0)
@@ -273,8 +277,8 @@ class _Block:
         return np.unique((self.context[self.of] << id_bits) | self.word[self.of], return_inverse=True)
 
 
-def _asked(block: _Block, pairs: np.ndarray, id_bits: int, hot: int, shards: int) -> tuple[np.ndarray, ...]:
-    """What a block asks: (keys, totals of their contexts, runs of their contexts, order by shard and key, cuts of shards).
+def _asked(block: _Block, pairs: np.ndarray, id_bits: int, hot: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """What a block asks: (keys, totals of their contexts, runs of their contexts, places of each shard's keys in order).
 
     A context goes to one shard; one met more than hot times to several, by its successors, and is asked for in each of
     them (as a pair with successor 0, which no word has), so that its mass comes back whole. The pairs come first in keys.
@@ -288,8 +292,7 @@ def _asked(block: _Block, pairs: np.ndarray, id_bits: int, hot: int, shards: int
     key = np.concatenate([pairs, context[each] << id_bits])
     part = np.concatenate([(pairs & ((1 << id_bits) - 1)) % parts, sub])
     shard = _shards_of((key >> id_bits) * 64 + part, shards)
-    order = np.lexsort((key, shard))
-    return key, np.concatenate([total, total[each]]), np.concatenate([run, run[each]]), order, np.searchsorted(shard[order], np.arange(shards + 1))
+    return key, np.concatenate([total, total[each]]), np.concatenate([run, run[each]]), _by_shard(shard, np.lexsort((key, shard)))
 
 
 def _context_totals(block: _Block, pairs: np.ndarray, id_bits: int) -> np.ndarray:
@@ -305,15 +308,13 @@ def _pair_requests(shards: int, word_shards: int, bases: np.ndarray, id_bits: in
                 block = _Block(row, word_shards, bases)
                 pairs, place = block.pairs(id_bits)
                 trained = np.repeat(block.training, block.lengths)[block.of]
-                key, total, _, order, cuts = _asked(block, pairs, id_bits, hot, shards)
+                key, total, _, parts = _asked(block, pairs, id_bits, hot, shards)
                 counts = np.bincount(place[trained], minlength=len(key)).astype(np.uint32)
                 rows = []
-                for s in range(shards):
-                    p = order[cuts[s] : cuts[s + 1]]
-                    if len(p):
-                        own = key[p]
-                        new = np.concatenate([[True], own[1:] >> id_bits != own[:-1] >> id_bits])
-                        rows.append((s, row.block, pack(np.diff(own, prepend=0)), pack(counts[p]), pack(total[p][new])))
+                for s, p in parts.items():
+                    own = key[p]
+                    new = np.concatenate([[True], own[1:] >> id_bits != own[:-1] >> id_bits])
+                    rows.append((s, row.block, pack(np.diff(own, prepend=0)), pack(counts[p]), pack(total[p][new])))
                 if rows:
                     yield pd.DataFrame(rows, columns=["shard", "block", "pairs", "counts", "totals"])
 
@@ -361,10 +362,10 @@ def _scores(shards: int, word_shards: int, bases: np.ndarray, id_bits: int, hot:
                 base = np.log10(p)
                 pairs, place = block.pairs(id_bits)
                 if row.pair_answers is not None and len(pairs):
-                    key, _, run, order, cuts = _asked(block, pairs, id_bits, hot, shards)
+                    key, _, run, parts = _asked(block, pairs, id_bits, hot, shards)
                     code, mass = np.zeros(len(key), np.uint8), np.zeros(int(run.max()) + 1)
                     for a in row.pair_answers:
-                        own = order[cuts[a["shard"]] : cuts[a["shard"] + 1]]
+                        own = parts[a["shard"]]
                         code[own] = unpack(a["codes"], np.uint8)
                         r = run[own]
                         mass[r[np.concatenate([[True], r[1:] != r[:-1]])]] += unpack(a["masses"], np.uint16) / _MASS
