@@ -249,6 +249,10 @@ class Series:
         a, b = self.kind.fieldNames()[:2]
         return tuple(self._with(self.cell.map(lambda v, n=n: v[n])) for n in (a, b))
 
+    def take(self, n: int) -> Series:
+        """The first n cells."""
+        return Series(self.df.orderBy(*self.order).limit(n), self.order)
+
     def cached(self) -> Series:
         return Series(self.df.cache(), self.order)
 

@@ -89,6 +89,7 @@ def test_order_and_size(spark):
     s = strings(spark, ("c", 1), ("a", 2), ("b", NA), ("a", 3), value="int")
     assert s.sorted().to_list() == [("a", 2), ("a", 3), ("b", NA), ("c", 1)]
     assert s.reversed().keys() == ["a", "b", "a", "c"]
+    assert s.take(2).to_list() == [("c", 1), ("a", 2)]
     assert not s.is_ordered()
     assert s.sorted().is_ordered()
     assert (s.size(), s.has_values(), s.values()) == (4, True, [1, 2, 3])
