@@ -98,10 +98,14 @@ class Frame:
         return Frame.from_rows(spark, list(zip(*columns, strict=True)), kinds, keys)
 
     @staticmethod
-    def fill(spark: SparkSession, rows: Sequence, cols: Sequence, f: Callable[[Column, object], Column], key: str = "bigint") -> Frame:
-        """A table from a function of the row key (a column) and the column key."""
+    def fill(spark: SparkSession, rows: Sequence, cols: Sequence, f: Callable[[Column, object], Column | Cell], key: str = "bigint") -> Frame:
+        """A table from a function of the row key (a column) and the column key to a column or a cell."""
         df = spark.createDataFrame([(k, i) for i, k in enumerate(rows)], f"__k {key}, __pos bigint")
-        return Frame(df.select("*", *(f(F.col("__k"), c).alias(f"c{i}") for i, c in enumerate(cols))), [ColumnRef(c, f"c{i}") for i, c in enumerate(cols)])
+        made = [f(F.col("__k"), c) for c in cols]
+        cells = [c if isinstance(c, Cell) else Cell(c) for c in made]
+        refs = [ColumnRef(k, f"c{i}", f"n{i}" if c.nm is not None else None) for i, (k, c) in enumerate(zip(cols, cells, strict=True))]
+        parts = [x for i, c in enumerate(cells) for x in (c.v.alias(f"c{i}"), *([c.nm.alias(f"n{i}")] if c.nm is not None else []))]
+        return Frame(df.select("*", *parts), refs)
 
     @staticmethod
     def empty(spark: SparkSession, key: str = "string") -> Frame:

@@ -55,6 +55,10 @@ class Series:
     def of_values(spark: SparkSession, values: Sequence, value: str = "int") -> Series:
         return Series.of(spark, list(enumerate(values)), "bigint", value)
 
+    @staticmethod
+    def from_map(spark: SparkSession, cells: dict, key: str = "string", value: str = "int") -> Series:
+        return Series.of(spark, list(cells.items()), key, value)
+
     @staticmethod
     def empty(spark: SparkSession, key: str = "string", value: str = "int") -> Series:
         return Series.of(spark, [], key, value)

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lattica import NA, NM, Frame, Series, all_cols, cols, rows
+from lattica import NA, NM, Frame, Series, all_cols, cols, not_meaningful, rows
 from lattica import reducers as R
 
 
@@ -214,6 +214,8 @@ def test_constructors(spark):
     assert Frame.from_rows(spark, [("a", 1), ("b", 2)], ["string", "int"]).to_rows() == [(0, "a", 1), (1, "b", 2)]
     assert Frame.from_columns(spark, [("a", "b"), (1, 2)], ["string", "int"], ["s", "n"]).to_rows() == [(0, "a", 1), (1, "b", 2)]
     assert Frame.fill(spark, [1, 2], [10, 20], lambda r, c: r * c).to_rows() == [(1, 10, 20), (2, 20, 40)]
+    assert Frame.fill(spark, [1], [10], lambda r, c: not_meaningful("int")).to_rows() == [(1, NM)]
+    assert Series.from_map(spark, {"a": 1, "b": NM}).to_list() == [("a", 1), ("b", NM)]
     frame = Frame.from_df(spark.range(5).select((F.col("id") * 2).alias("x")))
     assert sorted(frame.to_rows()) == [(i, 2 * i) for i in range(5)]
     assert "x" in str(frame)
