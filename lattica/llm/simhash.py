@@ -35,14 +35,14 @@ def shingles(text: bytes | None, k: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
 
 
-def fingerprint(grams: list[bytes]) -> int:
-    """The majority of each bit of the shingles' XXH64 (seed 42), unsigned; no shingles: zero."""
+def fingerprint(grams: list[bytes], seed: int = 42) -> int:
+    """The majority of each bit of the shingles' XXH64, unsigned; no shingles: zero."""
     if not grams:
         return 0
     digest = xxhash.xxh64_intdigest
     total, n = np.zeros(BITS, np.int64), len(grams)
     for at in range(0, n, 1 << 16):  # a very long text goes by in parts
-        h = np.fromiter((digest(g, 42) for g in grams[at : at + (1 << 16)]), np.uint64)
+        h = np.fromiter((digest(g, seed) for g in grams[at : at + (1 << 16)]), np.uint64)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
@@ -162,32 +162,52 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         part = _labels(pa[pick], pb[pick], n)[part]
 
 
-def _links(bits: int, alike: float, near_rows: int):
-    """For rows sorted by bucket: (a, b) pairs of nodes that span the links found within each bucket.
+def _links(bits: int, alike: float, near_rows: int, masks: list[int]):
+    """For rows sorted by bucket: links (a, b) of nodes that connect all that the bucket's links connect.
 
-    With sketches, a link needs alike of their values equal, and all links of rows less than near_rows apart are given too.
+    With sketches, a link needs alike of their values equal, and all links of rows less than near_rows apart are given too;
+    two rows that share several of masks are then looked at in the first one only.
     """
+    earlier = {m: np.array(masks[:i], np.uint64) for i, m in enumerate(masks)}
+
+    def folded(a: list, b: list, like: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A spanning forest of the likest pairs."""
+        if not a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        x, y, z = np.concatenate(a), np.concatenate(b), np.concatenate(like)
+        order = np.argsort(-z, kind="stable")
+        x, y, z = x[order], y[order], z[order]
+        keep = _forest(x, y, n)
+        return x[keep], y[keep], z[keep]
 
-    def within(fp: np.ndarray, bucket: np.ndarray, probe: np.ndarray, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def within(fp: np.ndarray, bucket: np.ndarray, probe: np.ndarray, sketch: np.ndarray | None, mask: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, a, b, extra = len(fp), [], [], []
-        step, live = 1, np.arange(n)
+        step, live, like = 1, np.arange(n), []
         while len(live := live[live + step < n]) and len(live := live[bucket[live] == bucket[live + step]]):
-            near = (np.bitwise_count(fp[live] ^ fp[live + step]) <= bits) & (probe[live] | probe[live + step])
+            apart = fp[live] ^ fp[live + step]
+            near = (np.bitwise_count(apart) <= bits) & (probe[live] | probe[live + step])
+            near &= (chunk[live] < 0) | (chunk[live] != chunk[live + step])
             hit = live[near]
             if sketch is not None and len(hit):
-                hit = hit[(sketch[hit] == sketch[hit + step]).mean(axis=1) >= alike]
+                new = np.ones(len(hit), bool)
+                for m in np.unique(mask[hit]):
+                    own = mask[hit] == m
+                    new[own] = ~((apart[near][own, None] & earlier[int(m)][None, :]) == 0).any(axis=1)
+                hit = hit[new]
+            score = np.ones(len(hit))
+            if sketch is not None and len(hit):
+                score = (sketch[hit] == sketch[hit + step]).mean(axis=1)
+                hit, score = hit[score >= alike], score[score >= alike]
                 if step < near_rows:
                     extra.append((hit, hit + step))
             a.append(hit)
             b.append(hit + step)
+            like.append(score)
             step += 1
             if sum(map(len, a)) > 1 << 20:  # fold the pairs so far into one spanning forest
-                x, y = np.concatenate(a), np.concatenate(b)
-                keep = _forest(x, y, n)
-                a, b = [x[keep]], [y[keep]]
-        x, y = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (a, b))
-        keep = _forest(x, y, n)
-        pairs = [(x[keep], y[keep]), *extra]
+                a, b, like = ([x] for x in folded(a, b, like, n))
+        x, y, _ = folded(a, b, like, n)
+        pairs = [(x, y), *extra]
         return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,31 +216,44 @@ def _links(bits: int, alike: float, near_rows: int):
             if not len(pdf):
                 continue
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            mask, value = pdf["mask"].to_numpy(), pdf["value"].to_numpy()
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
+            new = np.flatnonzero(changes(pdf)) + 1
             last = int(new[-1]) if len(new) else 0
             held = pdf.iloc[last:]  # the last bucket may go on in the next batch
             if last:
-                yield out(pdf.iloc[:last], mask[:last], value[:last])
+                yield out(pdf.iloc[:last])
         if held is not None:
-            yield out(held, held["mask"].to_numpy(), held["value"].to_numpy())
+            yield out(held)
+
+    def changes(pdf: pd.DataFrame) -> np.ndarray:
+        columns = [pdf[c].to_numpy() for c in ("mask", "value", "two")]
+        return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
 
-    def out(pdf: pd.DataFrame, mask: np.ndarray, value: np.ndarray) -> pd.DataFrame:
-        bucket = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))])
+    def out(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = np.concatenate([[0], np.cumsum(changes(pdf))])
         blobs = pdf["sketch"].to_numpy()
         sketch = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1) if blobs[0] is not None else None
-        a, b = within(pdf["fp"].to_numpy(np.int64).view(np.uint64), bucket, pdf["probe"].to_numpy(bool), sketch)
+        a, b = within(pdf["fp"].to_numpy(np.int64).view(np.uint64), bucket, pdf["probe"].to_numpy(bool), sketch, pdf["mask"].to_numpy(np.int64).view(np.uint64), pdf["chunk"].to_numpy(np.int64))
         node = pdf["node"].to_numpy(np.int64)
         return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
 
     return run
 
 
-def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucket_rows: int = 2048, alike: float = 0.0, near_rows: int = 16) -> DataFrame:
+def _chunk_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of crowded buckets with c chunks, each in every pair of its chunk and another, and by itself in one."""
+    chunk = F.pmod(F.xxhash64("node"), F.col("c"))
+    each = rows.withColumn("_h", chunk).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)))
+    two = F.least("_h", "_j") * F.col("c") + F.greatest("_h", "_j") + 1
+    return each.withColumns({"two": two.cast("int"), "chunk": F.when(F.col("_h") == F.col("_j"), -1).otherwise(F.col("_h")).cast("int")}).drop("c", "_h", "_j")
+
+
+def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucket_rows: int = 2048, alike: float = 0.0, near_rows: int = 16, texts: bool = False) -> DataFrame:
     """(a, b) nodes whose fingerprints differ in bits bits or fewer, enough of them to span every group of linked nodes.
 
     nodes: different (node, fp, sketch); sketch is a null or a run of bytes of one length. No link is lost; links that
-    others imply may be left out.
+    others imply may be left out. texts says that nodes are texts, of which many may share a fingerprint: then every
+    partition is probed at threshold 0, and crowded buckets are not cut by bits, which would not part such nodes, but
+    into chunks of which every two meet in one task.
     """
     parts, units = partitions or bits + 1, bits + 1
     fps = cut(nodes.select("fp", "node", "sketch"))
@@ -244,7 +277,7 @@ def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucke
                 # the value's own bucket is counted; its neighbours are taken at the mean load, plus one for each probe
                 cost[:, :, u] = here + [(a - 1) * (1 + n / 2.0**w) for a, w in zip(around, widths, strict=True)]
                 around = around + [float(np.prod(range(w - u + 1, w + 1)) / np.prod(range(1, u + 1))) for w in widths]
-            limits = allocate(cost, units)
+            limits = np.zeros((len(fp), parts), np.int64) if texts else allocate(cost, units)
             for i, m in enumerate(masks):
                 hit = limits[:, i] >= 0
                 signed = np.int64(_signed(m))
@@ -260,18 +293,24 @@ def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucke
     keyed = cut(filled.mapInPandas(probes, "fp long, node long, sketch binary, mask long, value long, probe boolean"))
     found = None
     for _ in range(BITS):
-        sizes = keyed.groupBy("mask", "value").agg(F.count("*").alias("n"), F.max("probe").alias("p")).where("n > 1 and p")
-        loads = cut(sizes)
-        small = keyed.join(loads.where(F.col("n") <= bucket_rows).select("mask", "value"), ["mask", "value"])
-        dealt = small.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
-        links = dealt.mapInPandas(_links(bits, alike, near_rows), "a long, b long")
-        found = links if found is None else found.unionAll(links)
-        big = loads.where(F.col("n") > bucket_rows)
+        # buckets that nobody probes make no pairs, however full
+        loads = keyed.groupBy("mask", "value").agg(F.count("*").alias("n"), F.max("probe").alias("p"))
+        big = cut(loads.where((F.col("n") > bucket_rows) & F.col("p")).select("mask", "value"))
         fixed = [r["mask"] for r in big.select("mask").distinct().collect()]  # a few masks, not buckets
-        if not fixed:
+        idle = cut(loads.where((F.col("n") > bucket_rows) & ~F.col("p")).select("mask", "value"))
+        full = big.unionAll(idle)
+        alone = {"two": F.lit(0), "chunk": F.lit(-1)}
+        small = (keyed if full.isEmpty() else keyed.join(full, ["mask", "value"], "left_anti")).withColumns(alone)
+        if texts and fixed:
+            sized = big.join(loads, ["mask", "value"]).select("mask", "value", F.ceil(F.col("n") * 2 / bucket_rows).alias("c"))
+            small = small.unionByName(_chunk_pairs(keyed.join(sized, ["mask", "value"])))
+        dealt = small.repartition("mask", "value", "two").sortWithinPartitions("mask", "value", "two", "fp")
+        links = dealt.mapInPandas(_links(bits, alike, near_rows, masks), "a long, b long")
+        found = links if found is None else found.unionAll(links)
+        if not fixed or texts:
             break
         finer = F.create_map(*(x for m in fixed for x in (F.lit(m), F.array(*(F.lit(_signed(m & _FULL | s)) for s in _split(m & _FULL, bits + 1))))))
-        held = keyed.join(big.select("mask", "value"), ["mask", "value"])
+        held = keyed.join(big, ["mask", "value"])
         # a probe row sits in a bucket whose fixed bits are not all its own: it keeps those, and adds its own of the rest
         deeper = held.withColumn("_m", F.explode(finer[F.col("mask")]))
         value = F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.col("_m").bitwiseXOR(F.col("mask"))))
@@ -296,7 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, bits: int = 2, key: str = "doc_
     return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_SKETCH = 96
+_SKETCH = 32
 
 
 def _sketch(grams: np.ndarray) -> bytes:
@@ -310,15 +349,16 @@ def _sketch(grams: np.ndarray) -> bytes:
     return (least >> np.uint64(56)).astype(np.uint8).tobytes() if len(grams) else bytes(_SKETCH)
 
 
-def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id): documents linked if their sets of k-word shingles have a Jaccard similarity of at least similarity.
 
-    Candidates are pairs whose fingerprints over their different words differ in bits bits or fewer (near copies share
-    almost all words) and whose sketches look alike; every pair kept is verified on the whole sets. Equal sets are one
-    node. In buckets of more than 16 mutually alike documents the candidates are a spanning forest and each document's
-    nearest rows, not all pairs. Wordless and null texts are equal to each other; rows without a key are left out.
+    Candidates are pairs one of whose two fingerprints over their different words differs in bits bits or fewer (near
+    copies share almost all words; two seeds, as halves of 128 bits) and whose sketches look alike; every pair kept is
+    verified on the whole sets. Equal sets are one
+    node. In buckets of more than 16 mutually alike documents the candidates are the spanning forest of the likest pairs and
+    each document's nearest rows, not all pairs. Wordless and null texts are equal to each other; rows without a key are left out.
     """
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("digest", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("digest", pa.int64()), ("sketch", pa.binary())])
 
     def hashed(raw: bytes | None) -> np.ndarray:
         return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in shingles(raw, k)), np.uint64))
@@ -327,15 +367,17 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int
         for batch in batches(it, 1 << 23):
             out = []
             for raw in strings_as_bytes(batch.column(1)):
-                grams = hashed(raw)
-                out.append((fingerprint(sorted(set((raw or b"").translate(LOWER_BYTES).split()))), xxhash.xxh64_intdigest(grams.tobytes(), 1), _sketch(grams)))
-            fps, digests = (np.array([o[i] for o in out], np.uint64).view(np.int64) for i in (0, 1))
-            yield arrow_rows(schema, (batch.column(0).cast(pa.int64()), fps, digests, [o[2] for o in out]))
+                grams, different = hashed(raw), sorted(set((raw or b"").translate(LOWER_BYTES).split()))
+                out.append((fingerprint(different), fingerprint(different, 43), xxhash.xxh64_intdigest(grams.tobytes(), 1), _sketch(grams)))
+            numbers = (np.array([o[i] for o in out], np.uint64).view(np.int64) for i in range(3))
+            yield arrow_rows(schema, (batch.column(0).cast(pa.int64()), *numbers, [o[3] for o in out]))
 
     rows = docs.where(F.col(key).isNotNull())
-    prints = cut(rows.select(key, text).mapInArrow(run, "key long, fp long, digest long, sketch binary"))
-    nodes = cut(prints.groupBy("fp", "digest").agg(F.min("key").alias("node"), F.first("sketch").alias("sketch")))
-    links = cut(near_links(nodes, bits, alike=max(0.0, similarity - 0.15)))
+    prints = cut(rows.select(key, text).mapInArrow(run, "key long, fp long, fp2 long, digest long, sketch binary"))
+    nodes = cut(prints.groupBy("fp", "digest").agg(F.min("key").alias("node"), F.first("fp2").alias("fp2"), F.first("sketch").alias("sketch")))
+    alike = max(0.0, similarity - 0.2)
+    halves = [near_links(nodes.select("node", F.col(fp).alias("fp"), "sketch"), bits, alike=alike, texts=True) for fp in ("fp", "fp2")]
+    links = cut(halves[0].unionAll(halves[1]).distinct())
 
     sets = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
 
@@ -363,7 +405,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int
     return prints.join(labelled, ["fp", "digest"]).select(F.col("key").alias(key), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class of near copies, the one with the smallest key. Rows without a key all stay."""
     classes = cut(near_copies(docs, k, similarity, bits, key, text))
     stay = classes.where(F.col(key) == F.col("component_id")).select(key).distinct()

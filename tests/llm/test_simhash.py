@@ -116,3 +116,19 @@ def test_components(spark):
     nodes = {n for p in pairs for n in p if p[0] != p[1]}
     assert {r["node"]: r["component"] for r in connected_components(df).collect()} == classes(nodes, pairs)
     assert connected_components(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_crowded_buckets_of_texts_lose_nothing(spark, seed):
+    """Many nodes to a fingerprint and dense clusters, in chunks of four rows."""
+    rng = random.Random(seed)
+    fps = []
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        fps += [centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 0, 2, 5, 9]))) for _ in range(30)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(i, f, bytearray(8)) for i, f in enumerate(signed)], "node bigint, fp bigint, sketch binary")
+    got = S.near_links(nodes, 7, bucket_rows=8, alike=0.6, near_rows=1, texts=True).collect()
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 7]
+    assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() <= 7 for r in got)
+    assert classes(range(len(fps)), [(r["a"], r["b"]) for r in got]) == classes(range(len(fps)), pairs)
