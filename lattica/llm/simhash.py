@@ -376,7 +376,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int
     prints = cut(rows.select(key, text).mapInArrow(run, "key long, fp long, fp2 long, digest long, sketch binary"))
     nodes = cut(prints.groupBy("fp", "digest").agg(F.min("key").alias("node"), F.first("fp2").alias("fp2"), F.first("sketch").alias("sketch")))
     alike = max(0.0, similarity - 0.2)
-    halves = [near_links(nodes.select("node", F.col(fp).alias("fp"), "sketch"), bits, alike=alike, texts=True) for fp in ("fp", "fp2")]
+    halves = [near_links(nodes.select("node", F.col(fp).alias("fp"), "sketch"), bits, bucket_rows=16_384, alike=alike, texts=True) for fp in ("fp", "fp2")]
     links = cut(halves[0].unionAll(halves[1]).distinct())
 
     sets = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
