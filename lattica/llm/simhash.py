@@ -335,79 +335,225 @@ def near_duplicates(docs: DataFrame, k: int = 5, bits: int = 2, key: str = "doc_
     return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_SKETCH = 32
+_SLACK = 1e-9  # bounds give way by this much, so that rounding loses no pair
 
 
-def _sketch(grams: np.ndarray) -> bytes:
-    """The low byte of the least of each of so many multiplicative hashes of the shingles."""
-    odd = (np.arange(1, _SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    least = np.full(_SKETCH, np.uint64(_FULL))
-    for at in range(0, len(grams), 4096):
-        h = grams[at : at + 4096, None] * odd
-        h ^= h >> np.uint64(31)
-        np.minimum(least, (h * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0), out=least)
-    return (least >> np.uint64(56)).astype(np.uint8).tobytes() if len(grams) else bytes(_SKETCH)
+def _missing(n: int, share: float) -> int:
+    """How many of a set's n members a set may lack that holds at least share of them."""
+    return n - int(np.ceil(share * n - _SLACK))
 
 
-def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id): documents linked if their sets of k-word shingles have a Jaccard similarity of at least similarity.
+def _gram_set(raw: bytes | None, k: int) -> np.ndarray:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in shingles(raw, k)), np.uint64))
+
+
+def _digest(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), 1)
+
+
+def _parity(grams: np.ndarray) -> bytes:
+    """Of each of 2^j cells, at least as many as grams, whether an odd number of grams fall in it (by their low bits)."""
+    cells = max(64, 1 << max(0, len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_match(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
+    """False only if sets of n and m members are less alike than similarity: each odd cell of both takes one differing member."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) != len(q):
+        p, q = (p, q) if len(p) > len(q) else (q, p)
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    most = n + m - 2 * np.ceil(similarity / (1 + similarity) * (n + m) - _SLACK)
+    return int(np.bitwise_count(p ^ q).sum()) <= most
+
+
+def _mixed(x: np.ndarray, shards: int) -> np.ndarray:
+    h = x * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(shards)).astype(np.int64)
+
+
+def _common_grams(rows: DataFrame, text: str, k: int, one_in: int = 16, most: int = 300_000) -> np.ndarray:
+    """Sorted shingle hashes met in several texts of a sample. They only order shingles, so any list will do."""
+    sample = rows.where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0).select(text).distinct()
+    schema = pa.schema([("gram", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1 << 22):
+            yield arrow_rows(schema, (np.concatenate([_gram_set(t, k) for t in strings_as_bytes(batch.column(0))]).view(np.int64),))
 
-    Candidates are pairs one of whose two fingerprints over their different words differs in bits bits or fewer (near
-    copies share almost all words; two seeds, as halves of 128 bits) and whose sketches look alike; every pair kept is
-    verified on the whole sets. Equal sets are one
-    node. In buckets of more than 16 mutually alike documents the candidates are the spanning forest of the likest pairs and
-    each document's nearest rows, not all pairs. Wordless and null texts are equal to each other; rows without a key are left out.
+    counts = sample.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(most).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _prefix_links(shard_rows: pd.DataFrame, similarity: float, crowd: int) -> pd.DataFrame:
+    """Candidates of a shard of prefixes: all pairs of a shingle's texts; of more than crowd texts a chain, marked as such.
+
+    The smaller set of a pair of candidates has the shingle in its short prefix, and its size is at least similarity of
+    the other's. By size, every text is chained to the one with a short prefix before it: sizes between those of a pair are
+    nearer to each other than its own, so the chains connect all that the pairs would.
+    """
+    gram, node, size = (np.concatenate([np.frombuffer(b, t) for b in shard_rows[c]]) for c, t in (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
+    short, size = size < 0, np.abs(size).astype(np.int64)
+    order = np.lexsort((node, size, gram))
+    gram, node, size, short = gram[order], node[order], size[order], short[order]
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+    gram, node, size, short = gram[new], node[new], size[new], short[new]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    load = np.diff(np.concatenate([first, [len(gram)]]))
+    start, crowded = np.repeat(first, load), np.repeat(load > crowd, load)
+    at = np.arange(len(gram))
+    last = np.maximum.accumulate(np.where(short, at, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    chained = np.flatnonzero(crowded & (last >= start))
+    chained = chained[size[last[chained]] >= similarity * size[chained] - _SLACK]
+    x, y = [last[chained]], [chained]
+    live = np.flatnonzero(~crowded)
+    for step in range(1, crowd):
+        live = live[live - step >= start[live]]
+        hit = live[short[live - step] & (size[live - step] >= similarity * size[live] - _SLACK)]
+        x.append(hit - step)
+        y.append(hit)
+    a, b = node[np.concatenate(x)], node[np.concatenate(y)]
+    out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "chain": np.arange(len(a)) < len(chained)})
+    return out.sort_values("chain", ascending=False).drop_duplicates(["a", "b"])
+
+
+def _true_links(node: np.ndarray, sets: list[np.ndarray], half: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of alike sets that connect all alike sets; only pairs of both halves count, if there are two.
+
+    A set's overlaps with all others are counted over the lists of its members; it is passed over if its class already
+    holds every set of a fitting size.
     """
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("digest", pa.int64()), ("sketch", pa.binary())])
+    m = len(sets)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, node, half = [sets[i] for i in order], node[order], half[order]
+    size = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(m, dtype=np.int32), size)
+    _, gram = np.unique(np.concatenate(sets), return_inverse=True)
+    by_gram = np.argsort(gram, kind="stable")
+    lists, ends = of[by_gram], np.concatenate([[0], np.cumsum(np.bincount(gram))])
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    two = half.min() != half.max()
+    part, a, b = np.arange(m), [], []
+    for i in range(m):
+        # larger sets only: a smaller one has met this set already
+        stop = int(np.searchsorted(size, size[i] / similarity + 1e-6, side="right"))
+        open_ = part[i + 1 : stop] != part[i]
+        if two:
+            open_ &= half[i + 1 : stop] != half[i]
+        if not open_.any():
+            continue
+        own = gram[cuts[i] : cuts[i + 1]]
+        both = np.zeros(m, np.int64)
+        for at in range(0, len(own), 1 << 12):
+            both += np.bincount(np.concatenate([lists[ends[g] : ends[g + 1]] for g in own[at : at + (1 << 12)]]), minlength=m)
+        own_both = both[i + 1 : stop]
+        for j in np.flatnonzero(open_ & (own_both >= similarity * (size[i] + size[i + 1 : stop] - own_both))) + i + 1:
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                a.append(node[i])
+                b.append(node[j])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", crowd: int = 16, shard_entries: int = 1_500_000, chunk_bytes: int = 32 << 20) -> DataFrame:
+    """(key, component_id): documents linked if their sets of k-word shingles have a Jaccard similarity of at least similarity.
 
-    def hashed(raw: bytes | None) -> np.ndarray:
-        return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in shingles(raw, k)), np.uint64))
+    No link is lost. Shingles are ordered, those common in a sample last; of two sets this alike, the first shingle that
+    they share lies among the first of each (prefix filter). Pairs of texts that meet in such a shingle pass two bounds, on
+    sizes and on parities of cells, which no true pair fails; of a crowded shingle's texts only chains are taken, none
+    of which is dropped. What these candidates connect is compared whole, set by set: in one task, or where the
+    sets exceed chunk_bytes in chunks of which every two meet. Equal sets are one node, known by a 64-bit hash.
+    Wordless and null texts are equal to each other; rows without a key are left out.
+    """
+    rows = docs.where(F.col(key).isNotNull()).select(key, text)
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), ("parity", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 1 << 23):
-            out = []
+            sets = [_gram_set(raw, k) for raw in strings_as_bytes(batch.column(1))]
+            digest = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
+            yield arrow_rows(schema, (batch.column(0).cast(pa.int64()), digest, [len(s) for s in sets], [_parity(s) for s in sets]))
+
+    prints = cut(rows.mapInArrow(run, "key long, digest long, n int, parity binary"))
+    nodes = prints.groupBy("digest").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    entries = int((prints.agg(F.sum("n")).first()[0] or 0) * (1 - similarity)) + 1
+    shards = -(-entries // shard_entries)
+    common = _common_grams(rows, text, k)
+    inner = 2 * similarity / (1 + similarity)
+    parts = pa.schema([("shard", pa.int32()), ("grams", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+
+    def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1 << 23):
+            grams, nodes, sizes = [], [], []
             for raw in strings_as_bytes(batch.column(1)):
-                grams, different = hashed(raw), sorted(set((raw or b"").translate(LOWER_BYTES).split()))
-                out.append((fingerprint(different), fingerprint(different, 43), xxhash.xxh64_intdigest(grams.tobytes(), 1), _sketch(grams)))
-            numbers = (np.array([o[i] for o in out], np.uint64).view(np.int64) for i in range(3))
-            yield arrow_rows(schema, (batch.column(0).cast(pa.int64()), *numbers, [o[3] for o in out]))
-
-    rows = docs.where(F.col(key).isNotNull())
-    prints = cut(rows.select(key, text).mapInArrow(run, "key long, fp long, fp2 long, digest long, sketch binary"))
-    nodes = cut(prints.groupBy("fp", "digest").agg(F.min("key").alias("node"), F.first("fp2").alias("fp2"), F.first("sketch").alias("sketch")))
-    alike = max(0.0, similarity - 0.2)
-    halves = [near_links(nodes.select("node", F.col(fp).alias("fp"), "sketch"), bits, bucket_rows=16_384, alike=alike, texts=True) for fp in ("fp", "fp2")]
-    links = cut(halves[0].unionAll(halves[1]).distinct())
-
-    sets = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+                own = _gram_set(raw, k)
+                n = len(own)
+                if not n:
+                    continue
+                late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(n, bool)
+                first = np.concatenate([own[~late], own[late]])[: _missing(n, similarity) + 1]
+                grams.append(first)
+                nodes.append(np.full(len(first), _digest(own), np.uint64))
+                # a negative size: within the prefix of the smaller set of a pair
+                sizes.append(np.where(np.arange(len(first)) <= _missing(n, inner), -n, n).astype(np.int32))
+            if grams:
+                g, d, z = (np.concatenate(x) for x in (grams, nodes, sizes))
+                shard = _mixed(g, shards)
+                order = np.lexsort((g, shard))
+                g, d, z, own = g[order], d[order], z[order], shard[order]
+                at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                cuts = [x.tobytes() for x in np.split(g, at[1:])], [x.tobytes() for x in np.split(d, at[1:])], [x.tobytes() for x in np.split(z, at[1:])]
+                yield arrow_rows(parts, (own[at].astype(np.int32), *cuts))
+
+    dealt = rows.mapInArrow(prefixes, "shard int, grams binary, nodes binary, sizes binary").groupBy("shard")
+    met = dealt.applyInPandas(lambda pdf: _prefix_links(pdf, similarity, crowd), "a long, b long, chain boolean")
+    met = cut(met.groupBy("a", "b").agg(F.max("chain").alias("chain")))
+
+    def bounded(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            fits = [_may_match(x, y, n, m, similarity) for x, y, n, m in zip(pdf["x"], pdf["y"], pdf["n"], pdf["m"], strict=True)]
+            yield pdf.loc[fits, ["a", "b"]]
+
+    ends = [nodes.select(F.col("digest").alias(c), F.col("n").alias(n), F.col("parity").alias(p)) for c, n, p in (("a", "n", "x"), ("b", "m", "y"))]
+    likely = met.where("not chain").join(ends[0], "a").join(ends[1], "b").mapInPandas(bounded, "a long, b long")
+    groups = connected_components(met.where("chain").select("a", "b").unionAll(likely))
+    sized = cut(nodes.select("digest", "n", "least").join(groups.withColumnRenamed("node", "digest"), "digest"))
+    chunks = sized.groupBy("component").agg(F.ceil(F.sum("n") * 8 / chunk_bytes).alias("c"))
+    sized = sized.join(chunks, "component")
+    wanted = cut(sized.select(F.col("digest").alias("node"), F.col("least").alias(key), "component", "c"))
+    sets = pa.schema([("digest", pa.int64()), ("grams", pa.binary())])
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 1 << 22):
-            yield arrow_rows(sets, (batch.column(0).cast(pa.int64()), [hashed(raw).tobytes() for raw in strings_as_bytes(batch.column(1))]))
+            found = [_gram_set(raw, k) for raw in strings_as_bytes(batch.column(1))]
+            yield arrow_rows(sets, (np.array([_digest(s) for s in found], np.uint64).view(np.int64), [s.tobytes() for s in found]))
+
+    # a key may have several texts, and rows: those of another digest fall out, the others count once
+    held = rows.join(wanted.select(key).distinct(), key, "left_semi").mapInArrow(gather, "digest long, grams binary")
+    placed = held.join(wanted.drop(key), F.col("digest") == F.col("node")).drop("digest")
+    own = F.pmod(F.xxhash64("node"), F.col("c"))
+    each = placed.withColumn("_h", own).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)))
+    two = F.least("_h", "_j") * F.col("c") + F.greatest("_h", "_j")
+    half = F.when(F.col("_h") > F.col("_j"), 1).otherwise(0)
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        a, b = _true_links(pdf["node"].to_numpy(np.int64), [np.frombuffer(g, np.uint64) for g in pdf["grams"]], pdf["half"].to_numpy(), similarity)
+        return pd.DataFrame({"a": a, "b": b})
+
+    grouped = each.select("component", two.alias("two"), half.alias("half"), "node", "grams").groupBy("component", "two")
+    classes = connected_components(grouped.applyInPandas(compared, "a long, b long"))
+    labelled = cut(nodes.select("digest", "least").join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_digest = labelled.join(least, "component").select("digest", "component_id")
+    return prints.join(by_digest, "digest").select(F.col("key").alias(key), "component_id")
 
-    def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            good = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both >= similarity * (len(p) + len(q) - both))
-            yield pdf.loc[good, ["a", "b"]]
-
-    linked = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
-    # a repeated key gives one row here
-    texts = rows.select(F.col(key).alias("node"), F.col(text).alias("t")).join(linked, "node", "left_semi").mapInArrow(gather, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
-    texts = cut(texts)
-    paired = links.join(texts.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    edges = paired.mapInPandas(verify, "a long, b long")
-    classes = connected_components(edges)
-    labelled = nodes.join(classes, "node", "left").select("fp", "digest", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labelled, ["fp", "digest"]).select(F.col("key").alias(key), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class of near copies, the one with the smallest key. Rows without a key all stay."""
-    classes = cut(near_copies(docs, k, similarity, bits, key, text))
+    classes = cut(near_copies(docs, k, similarity, key, text))
     stay = classes.where(F.col(key) == F.col("component_id")).select(key).distinct()
     out = docs.join(stay, key, "left_semi").select(docs.columns)
     if classes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():

@@ -132,3 +132,21 @@ def test_crowded_buckets_of_texts_lose_nothing(spark, seed):
     pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 7]
     assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() <= 7 for r in got)
     assert classes(range(len(fps)), [(r["a"], r["b"]) for r in got]) == classes(range(len(fps)), pairs)
+
+
+def brute_classes(rows):
+    sets = {i: plain_fingerprint(t, 5)[1] for i, t in rows}
+    ids = sorted(sets)
+    return classes(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def test_appended_and_truncated_copies_are_found(spark):
+    """Runs of new words change many words at once, which no fingerprint over words stands."""
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        base = [f"a{rng.randrange(3000)}" for _ in range(rng.randint(80, 300))]
+        extra = [f"b{rng.randrange(3000)}" for _ in range(int(len(base) * rng.choice([0.1, 0.2, 0.23, 0.3])))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + extra if i % 2 else base[: len(base) - len(extra)]))]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert 10 < len(set(got.values())) < len(rows)
