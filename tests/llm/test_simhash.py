@@ -150,3 +150,31 @@ def test_appended_and_truncated_copies_are_found(spark):
     got = {r["doc_id"]: r["component_id"] for r in S.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_classes(rows)
     assert 10 < len(set(got.values())) < len(rows)
+
+
+def edited(rng, frame, edits, tag):
+    text = list(frame)
+    for at in rng.sample(range(len(frame)), edits):
+        text[at] = f"{tag}x{at}"
+    return text
+
+
+def found_classes(spark, texts, **limits):
+    """Classes found and true ones, of texts under shuffled ids."""
+    ids = list(range(len(texts)))
+    random.Random(12).shuffle(ids)
+    rows = [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+    got = S.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), **limits).collect()
+    return {r["doc_id"]: r["component_id"] for r in got}, brute_classes(rows)
+
+
+def test_long_texts_of_one_template(spark):
+    """Long sets have the least hashes near zero, whatever they hold: only whole sets tell such texts apart."""
+    rng, texts = random.Random(9), []
+    frame = [f"t{rng.randrange(10**6)}" for _ in range(2000)]
+    for c in range(120):
+        own = edited(rng, frame, 60, f"c{c}")
+        texts += [edited(rng, own, 12, f"d{c}x{i}") for i in range(2)]
+    got, true = found_classes(spark, texts)
+    assert got == true
+    assert len(set(true.values())) == 120
