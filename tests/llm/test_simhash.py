@@ -178,3 +178,16 @@ def test_long_texts_of_one_template(spark):
     got, true = found_classes(spark, texts)
     assert got == true
     assert len(set(true.values())) == 120
+
+
+@pytest.mark.parametrize("limits", [{}, {"crowd": 2, "chunk_bytes": 30_000, "shard_entries": 500}])
+def test_crowded_texts_of_mixed_similarity(spark, limits):
+    """Most pairs fail narrowly and a few hubs link the class; also by chains and chunks."""
+    rng, texts = random.Random(10), []
+    for f in range(2):
+        frame = [f"t{rng.randrange(10**6)}" for _ in range(150)]
+        for i in range(110):
+            texts.append(edited(rng, frame, 1 if i < 2 else 4 if i < 10 else 2, f"d{f}x{i}"))
+    got, true = found_classes(spark, texts, **limits)
+    assert got == true
+    assert 2 < len(set(true.values())) < 60
