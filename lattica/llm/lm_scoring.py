@@ -219,14 +219,14 @@ def _word_requests(shards: int):
     return run
 
 
-def _word_answers(shards: int):
+def _word_answers(shards: int, min_count: int):
     """For a shard's requests: each word's count over all blocks, and its id if the pairs' trie may hold it."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, counts = [unpack(b, np.uint64) for b in pdf["hashes"]], [unpack(b, np.uint32) for b in pdf["counts"]]
         words, place = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts), len(words)).astype(np.int64)
-        ids = np.cumsum(total >= 2) * (total >= 2)  # from 1; 0: too rare for a pair
+        ids = np.cumsum(total >= min_count) * (total >= min_count)  # from 1; 0: too rare for a pair
         cuts = np.cumsum([0, *map(len, hashes)])
         found = [place[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         first = np.arange(len(pdf)) == 0
@@ -399,7 +399,7 @@ def score_documents(docs: DataFrame, training: Column, min_count: int = 2, block
     entries = blocks.agg(F.sum("n_words")).first()[0] or 0
     word_shards = max(1, -(-entries // shard_entries))
     asked = blocks.select("block", "hashes", "counts").mapInPandas(_word_requests(word_shards), "shard int, block long, hashes binary, counts binary")
-    answered = asked.groupBy("shard").applyInPandas(_word_answers(word_shards), "block long, shard int, totals binary, wide boolean, ids binary, tokens long, words long, kept long")
+    answered = asked.groupBy("shard").applyInPandas(_word_answers(word_shards, min_count), "block long, shard int, totals binary, wide boolean, ids binary, tokens long, words long, kept long")
     answers = cut(answered)
     sums = {r["shard"]: r for r in answers.groupBy("shard").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w"), F.sum("kept").alias("k")).collect()}  # one row a shard
     kept = [sums[s]["k"] if s in sums else 0 for s in range(word_shards)]

@@ -52,7 +52,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.lm_scoring import score_documents
 
     held_out = text_crc32_mod("doc_id", 5) == 1
-    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out, min_count=1)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

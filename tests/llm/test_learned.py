@@ -168,6 +168,13 @@ def test_scores_equal_a_plain_model(documents, block, entries, hot):
     assert all(abs(g[5] - e[5]) <= 0.05 * g[1] + 0.02 * abs(e[5]) for g, e in zip(got, expected, strict=True))
 
 
+def test_pairs_met_once_count(documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    got = sorted(map(tuple, M.score_documents(documents, F.col("doc_id") % 5 != 1, min_count=1).collect()))
+    expected = plain_scores(rows, lambda i: i % 5 != 1, min_count=1)
+    assert all(abs(g[5] - e[5]) <= 0.05 * g[1] + 0.02 * abs(e[5]) for g, e in zip(got, expected, strict=True))
+
+
 def test_scores_without_training_or_rows(documents, nothing):
     alone = M.score_documents(documents, F.lit(False)).collect()
     assert {(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in alone} == {(0, 0, 0.0, 0.0)}
