@@ -21,7 +21,25 @@ from lattica.llm.common import batches
 # Element names of HTML, by role.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-RAW_TAGS = "script style noscript template textarea title svg math iframe object noframes select button canvas audio video"
+#: Elements whose content is no markup, or no text of the page; those of TO_THE_END take in the rest of a page if never closed.
+RAW_TAGS = frozenset("script style noscript template textarea title svg math iframe object noframes select button canvas audio video".split())
+TO_THE_END = frozenset("script style textarea title iframe noframes".split())
+#: What the start of an element closes (if nearer than the barriers), and the barriers.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"table", "tr"}),
+    "th": ({"td", "th"}, {"table", "tr"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+}
+#: Openers beyond which a closing tag does not look, besides these tags' own.
+SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",)}
+IN_TABLE = frozenset("td th tr tbody thead tfoot table".split())
+CELLS = ("td", "th", "table")
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog head fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side-bar aside rail widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot footnotes-nav colophon copyright cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more-stories trending comment comments commentlist reply replies respond discussion disqus pagination pager toolbar search searchform tags tagcloud skip-link".split())
@@ -33,10 +51,11 @@ STOP_WORDS = frozenset(
     " el los las del y que se por con para una su al lo como más pero sus este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos no es son".split()
 )
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS.split()) + r")\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+# a tag from its name on; possessive, so that a tag without an end is given up after one look
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+_OPENS = re.compile(r"<(?=[a-zA-Z/!?])")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW_TAGS}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"\w+")
 
@@ -65,58 +84,137 @@ def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag in lower case, whether it closes, attributes) of each tag, then (text, "", False, ""): one way forward.
+
+    Comments, declarations and the content of raw elements are left out. A < that no > follows is text. Once a tag's quotes
+    do not close before the page ends, the tags from there on end at their first >. Nothing is looked at again, so the time
+    is in proportion to the page whatever it holds.
+    """
+    tag_at, last_gt, at, done, n = _TAG, html.rfind(">"), 0, 0, len(html)
+    gone: set[str] = set()  # raw elements that nothing closes from here on
+    held: list[str] = []
+    while m := _OPENS.search(html, at):
+        start = m.start()
+        if start > last_gt and not html.startswith("<!--", start):
+            break
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            held.append(html[done:start])
+            at = done = n if end < 0 else end + 3
+            continue
+        t = tag_at.match(html, start + 1)
+        if t is None and tag_at is _TAG and (html[start + 1].isalpha() or html[start + 2 : start + 3].isalpha() and html[start + 1] == "/"):
+            tag_at = _PLAIN_TAG
+            t = tag_at.match(html, start + 1)
+        if t is None:  # a declaration or the like
+            held.append(html[done:start])
+            at = done = html.index(">", start) + 1
+            continue
+        held.append(html[done:start])
+        at = done = t.end()
+        tag = t[2].lower()
+        if tag in RAW_TAGS:
+            if not t[1] and tag not in gone and not (t[3].endswith("/") and tag not in TO_THE_END):
+                end = _ENDS[tag].search(html, at)
+                if end is not None:
+                    at = done = end.end()
+                elif tag in TO_THE_END:
+                    at = done = n
+                else:
+                    gone.add(tag)
+            continue
+        yield "".join(held), tag, bool(t[1]), t[3]
+        held.clear()
+    held.append(html[done:])
+    yield "".join(held), "", False, ""
+
+
+class _Open:
+    """The open block elements, each with what it passes on to its content: furniture, and the article it is in (0: none)."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the nearest opener of these tags, -1 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Close everything from that place on."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+
+    def open(self, tag: str, furniture: bool, article: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, furniture, article))
+
+    @property
+    def state(self) -> tuple[bool, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0)
+
+    def start(self, tag: str) -> None:
+        """Close what the start of tag ends by itself."""
+        p = self.last(("p",))
+        if p > self.last(CELLS):
+            self.cut(p)
+        if tag in IMPLIED:
+            ends, barriers = IMPLIED[tag]
+            place = self.last(ends)
+            if place > self.last(barriers):
+                self.cut(place)
+
+    def end(self, tag: str) -> None:
+        """Close the nearest opener of tag in its scope; a closing tag without one says nothing."""
+        place = self.last(HEADINGS if tag in HEADINGS else (tag,))
+        barriers = ("table",) if tag in IN_TABLE else (*CELLS, *SCOPES.get(tag, ()))
+        if place >= 0 and (tag == "table" or place > self.last(barriers) or tag in barriers):
+            self.cut(place)
+
+
 def blocks(html: str) -> list[Block]:
-    """The page's blocks in order. Unclosed and stray tags are tolerated: a closing tag closes to its nearest opener."""
+    """The page's blocks in order. Unclosed and stray tags are tolerated, and ends that HTML implies are made."""
     out: list[Block] = []
-    opened: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+    opened = _Open()
     parts: list[str] = []
     linked: list[str] = []
     in_link = heading = False
-    region = regions = 0
+    articles = 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            bad = any(f for _, f, _ in opened)
+            bad, region = opened.state
             out.append(Block(text, heading, bad, region, len(" ".join(unescape("".join(linked)).split()))))
         parts.clear()
         linked.clear()
 
-    at = 0
-    for m in _MARKUP.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
+    for text, tag, closes, attrs in tokens(html):
+        if text:
+            parts.append(text)
             if in_link:
-                linked.append(html[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
+                linked.append(text)
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            in_link = not m["close"]
+            in_link = not closes
         elif tag in BLOCK_TAGS:
             flush()
             in_link = False
-            if tag in ("p", "hr"):
-                heading = False
-            if m["close"]:
-                for i in range(len(opened) - 1, -1, -1):
-                    if opened[i][0] == tag:
-                        del opened[i:]
-                        break
-            elif tag not in VOID_TAGS and not m["attrs"].endswith("/"):
-                if tag not in ("p", "li", "dt", "dd", "tr", "td", "th") or m["attrs"]:
-                    article = tag in ("article", "main")
-                    if article:
-                        regions += 1
-                    opened.append((tag, _is_furniture(tag, m["attrs"], any(a for *_, a in opened)), article))
-            heading = tag in HEADINGS and not m["close"]
-            region = regions if any(a for *_, a in opened) else 0
+            if closes:
+                opened.end(tag)
+            elif tag not in VOID_TAGS:
+                opened.start(tag)
+                if not attrs.endswith("/"):
+                    furniture, article = opened.state
+                    furniture |= _is_furniture(tag, attrs, article > 0)
+                    if tag in ("article", "main"):
+                        articles += 1
+                        article = articles
+                    opened.open(tag, furniture, article)
+            heading = tag in HEADINGS and not closes
         # inline markup neither splits nor spaces text
-    if at < len(html):
-        parts.append(html[at:])
     flush()
     return out
 
