@@ -7,16 +7,23 @@ goes before a block; with neither, the url is allowed.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from html import unescape
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, cut
+from lattica.llm.common import ascii_lower, batches, cut
 from lattica.llm.components import connected_components
+from lattica.llm.html_extraction import tokens
 
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A refresh: seconds, then a target, perhaps named and in quotes.
+_REFRESH = re.compile(r"\s*[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?(?:'([^']*)|\"([^\"]*)|(.*))", re.I | re.S)
 
 
 @dataclass(frozen=True)
@@ -57,18 +64,56 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def page_key(url: Column) -> Column:
-    """A url without its fragment: what redirects and canonical links name."""
-    return F.regexp_extract(url, r"^[^#]*", 0)
+    """What names a page: scheme and host in lower case (A-Z), the path (/ if there is none) and the query, no fragment; null without ://."""
+    whole = r"^([^:/?#]+://[^/?#]*)([^?#]*)(\??[^#]*)"
+    path = F.regexp_extract(url, whole, 2)
+    key = F.concat(ascii_lower(F.regexp_extract(url, whole, 1)), F.when(path == "", "/").otherwise(path), F.regexp_extract(url, whole, 3))
+    return F.when(url.rlike(r"^[^:/?#]+://"), key)
+
+
+def page_targets(url: str | None, html: str) -> list[str]:
+    """Every target that the page's canonical links and refreshes name, resolved against its base and url; comments, scripts
+    and styles do not count."""
+    base, bases, found = url or "", [], []
+    for _, tag, closes, text in tokens(html):
+        if closes or tag not in ("link", "meta", "base"):
+            continue
+        held: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(text):
+            held.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or "").strip())
+        if tag == "base":
+            bases.append(held.get("href", ""))
+        elif tag == "link" and "canonical" in held.get("rel", "").lower().split():
+            found.append(held.get("href", ""))
+        elif tag == "meta" and held.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.match(held.get("content", ""))):
+            found.append((m[1] or m[2] or m[3] or "").strip())
+    base = _joined(base, next(filter(None, bases), "")) or base  # the first base holds for the whole page
+    return [full for target in found if target and (full := _joined(base, target))]
+
+
+def _joined(base: str, target: str) -> str | None:
+    """The target's full url; None if it is none."""
+    try:
+        return urljoin(base, target)
+    except ValueError:
+        return None
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b) urls that a page's canonical link or refresh redirect ties to it; relative targets from / keep the page's host."""
-    here = page_key(F.col(url))
-    origin = F.regexp_extract(F.col(url), r"^[^/?#]*://[^/?#]*", 0)
-    targets = F.array(*(F.regexp_extract(F.col(html), p, 1) for p in (_LINK, _REFRESH)))
-    found = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(here.alias("a"), origin.alias("o"), F.explode(targets).alias("t")).where("t <> ''")
-    full = F.when(F.col("t").startswith("//"), F.concat(F.regexp_extract("o", r"^[^/]*", 0), "t")).when(F.col("t").startswith("/"), F.concat("o", "t")).otherwise(F.col("t"))
-    return found.select("a", page_key(F.replace(full, F.lit("&amp;"), F.lit("&"))).alias("b")).where("a <> '' and b <> '' and a <> b")
+    """(a, b) pages that a canonical link or a refresh redirect ties together.
+
+    Only pages that name a canonical link or a refresh are read by Python; a page may name any number of targets.
+    """
+    schema = pa.schema([("a", pa.string()), ("t", pa.string())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1 << 22):
+            pairs = [(u, t) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in page_targets(u, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.string())], schema=schema)
+
+    named = pages.where(F.col(html).rlike(r"(?i)canonical|refresh") & page_key(F.col(url)).isNotNull()).select(F.col(url), F.col(html))
+    found = named.mapInArrow(run, "a string, t string")
+    return found.select(page_key(F.col("a")).alias("a"), page_key(F.col("t")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", html: str | None = "html", edges: DataFrame | None = None) -> DataFrame:
