@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's folder, or one of our own if it names none."""
+    """Make checkpoint() usable: the folder that the cluster names. Without one, only a local session goes on, in its own
+    working folder; on a cluster executors would not share it, so that is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(named or "/tmp/lattica-checkpoint")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,6 +72,32 @@ def arrow_rows(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def blob(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed binary: each as its planes of bytes, so that small numbers in wide types cost little."""
+    head = ";".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
+    planes = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, b"\n", *planes]))
+
+
+def unblob(data: bytes) -> list[np.ndarray]:
+    """The arrays of a blob."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at = raw.index(b"\n")
+    out, here = [], at + 1
+    for part in raw[:at].decode().split(";"):
+        kind = np.dtype(part[:3])
+        n = int(part[3:])
+        flat = np.frombuffer(raw, np.uint8, n * kind.itemsize, here)
+        out.append(np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
+        here += n * kind.itemsize
+    return out
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """The places where a run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def rank_within(rows: DataFrame, stratum: str, order: list[str], total: int, bucket_rows: int = 20_000, most_buckets: int = 4096) -> DataFrame:
     """rows with _rank (from 0) and _all (rows of the stratum), ranked by _hash, then order, within each stratum.
 

@@ -17,10 +17,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER_BYTES, arrow_rows, batches, cut, strings_as_bytes
+from lattica.llm.common import LOWER_BYTES, arrow_rows, batches, blob, cut, runs, strings_as_bytes, unblob
 from lattica.llm.components import connected_components
 
 BITS = 64
@@ -162,53 +163,24 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         part = _labels(pa[pick], pb[pick], n)[part]
 
 
-def _links(bits: int, alike: float, near_rows: int, masks: list[int]):
-    """For rows sorted by bucket: links (a, b) of nodes that connect all that the bucket's links connect.
+def _links(bits: int):
+    """For rows sorted by bucket: links (a, b) of fingerprints that connect all that the bucket's links connect."""
 
-    With sketches, a link needs alike of their values equal, and all links of rows less than near_rows apart are given too;
-    two rows that share several of masks are then looked at in the first one only.
-    """
-    earlier = {m: np.array(masks[:i], np.uint64) for i, m in enumerate(masks)}
-
-    def folded(a: list, b: list, like: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A spanning forest of the likest pairs."""
-        if not a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        x, y, z = np.concatenate(a), np.concatenate(b), np.concatenate(like)
-        order = np.argsort(-z, kind="stable")
-        x, y, z = x[order], y[order], z[order]
-        keep = _forest(x, y, n)
-        return x[keep], y[keep], z[keep]
-
-    def within(fp: np.ndarray, bucket: np.ndarray, probe: np.ndarray, sketch: np.ndarray | None, mask: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, a, b, extra = len(fp), [], [], []
-        step, live, like = 1, np.arange(n), []
+    def within(fp: np.ndarray, bucket: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, a, b = len(fp), [], []
+        step, live = 1, np.arange(n)
         while len(live := live[live + step < n]) and len(live := live[bucket[live] == bucket[live + step]]):
-            apart = fp[live] ^ fp[live + step]
-            near = (np.bitwise_count(apart) <= bits) & (probe[live] | probe[live + step])
-            near &= (chunk[live] < 0) | (chunk[live] != chunk[live + step])
-            hit = live[near]
-            if sketch is not None and len(hit):
-                new = np.ones(len(hit), bool)
-                for m in np.unique(mask[hit]):
-                    own = mask[hit] == m
-                    new[own] = ~((apart[near][own, None] & earlier[int(m)][None, :]) == 0).any(axis=1)
-                hit = hit[new]
-            score = np.ones(len(hit))
-            if sketch is not None and len(hit):
-                score = (sketch[hit] == sketch[hit + step]).mean(axis=1)
-                hit, score = hit[score >= alike], score[score >= alike]
-                if step < near_rows:
-                    extra.append((hit, hit + step))
+            hit = live[(np.bitwise_count(fp[live] ^ fp[live + step]) <= bits) & (probe[live] | probe[live + step])]
             a.append(hit)
             b.append(hit + step)
-            like.append(score)
             step += 1
             if sum(map(len, a)) > 1 << 20:  # fold the pairs so far into one spanning forest
-                a, b, like = ([x] for x in folded(a, b, like, n))
-        x, y, _ = folded(a, b, like, n)
-        pairs = [(x, y), *extra]
-        return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+                x, y = np.concatenate(a), np.concatenate(b)
+                keep = _forest(x, y, n)
+                a, b = [x[keep]], [y[keep]]
+        x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
+        keep = _forest(x, y, n)
+        return x[keep], y[keep]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -225,40 +197,27 @@ def _links(bits: int, alike: float, near_rows: int, masks: list[int]):
             yield out(held)
 
     def changes(pdf: pd.DataFrame) -> np.ndarray:
-        columns = [pdf[c].to_numpy() for c in ("mask", "value", "two")]
+        columns = [pdf[c].to_numpy() for c in ("mask", "value")]
         return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = np.concatenate([[0], np.cumsum(changes(pdf))])
-        blobs = pdf["sketch"].to_numpy()
-        sketch = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1) if blobs[0] is not None else None
-        a, b = within(pdf["fp"].to_numpy(np.int64).view(np.uint64), bucket, pdf["probe"].to_numpy(bool), sketch, pdf["mask"].to_numpy(np.int64).view(np.uint64), pdf["chunk"].to_numpy(np.int64))
-        node = pdf["node"].to_numpy(np.int64)
-        return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
+        fp = pdf["fp"].to_numpy(np.int64)
+        a, b = within(fp.view(np.uint64), bucket, pdf["probe"].to_numpy(bool))
+        return pd.DataFrame({"a": fp[a], "b": fp[b]}).drop_duplicates()
 
     return run
 
 
-def _chunk_pairs(rows: DataFrame) -> DataFrame:
-    """Rows of crowded buckets with c chunks, each in every pair of its chunk and another, and by itself in one."""
-    chunk = F.pmod(F.xxhash64("node"), F.col("c"))
-    each = rows.withColumn("_h", chunk).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)))
-    two = F.least("_h", "_j") * F.col("c") + F.greatest("_h", "_j") + 1
-    return each.withColumns({"two": two.cast("int"), "chunk": F.when(F.col("_h") == F.col("_j"), -1).otherwise(F.col("_h")).cast("int")}).drop("c", "_h", "_j")
-
+def near_links(prints: DataFrame, bits: int, partitions: int | None = None, bucket_rows: int = 2048) -> DataFrame:
+    """(a, b) fingerprints that differ in bits bits or fewer, enough of them to span every group of linked ones.
 
-def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucket_rows: int = 2048, alike: float = 0.0, near_rows: int = 16, texts: bool = False) -> DataFrame:
-    """(a, b) nodes whose fingerprints differ in bits bits or fewer, enough of them to span every group of linked nodes.
-
-    nodes: different (node, fp, sketch); sketch is a null or a run of bytes of one length. No link is lost; links that
-    others imply may be left out. texts says that nodes are texts, of which many may share a fingerprint: then every
-    partition is probed at threshold 0, and crowded buckets are not cut by bits, which would not part such nodes, but
-    into chunks of which every two meet in one task.
+    prints: different fingerprints fp. No link is lost; links that others imply may be left out.
     """
     parts, units = partitions or bits + 1, bits + 1
-    fps = cut(nodes.select("fp", "node", "sketch"))
-    masks = bit_groups(fps, parts)
+    fps = cut(prints.select("fp"))
     n = max(1, fps.count())
+    masks = bit_groups(fps, parts)
     own = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
     sizes = own.groupBy("mask", "value").agg(F.count("*").alias("n"))
     # values met once need no row of their own in the join
@@ -269,7 +228,6 @@ def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucke
     def probes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            node, sketch = pdf["node"].to_numpy(), pdf["sketch"].to_numpy()
             here = np.nan_to_num(pdf[[f"n{i}" for i in range(parts)]].to_numpy(np.float64), nan=1.0)
             cost = np.zeros((len(fp), parts, units + 1))
             around = np.ones(parts)
@@ -277,44 +235,37 @@ def near_links(nodes: DataFrame, bits: int, partitions: int | None = None, bucke
                 # the value's own bucket is counted; its neighbours are taken at the mean load, plus one for each probe
                 cost[:, :, u] = here + [(a - 1) * (1 + n / 2.0**w) for a, w in zip(around, widths, strict=True)]
                 around = around + [float(np.prod(range(w - u + 1, w + 1)) / np.prod(range(1, u + 1))) for w in widths]
-            limits = np.zeros((len(fp), parts), np.int64) if texts else allocate(cost, units)
+            limits = allocate(cost, units)
             for i, m in enumerate(masks):
-                hit = limits[:, i] >= 0
                 signed = np.int64(_signed(m))
-                yield pd.DataFrame({"fp": fp.view(np.int64), "node": node, "sketch": sketch, "mask": signed, "value": (fp & np.uint64(m)).view(np.int64), "probe": hit})
+                yield pd.DataFrame({"fp": fp.view(np.int64), "mask": signed, "value": (fp & np.uint64(m)).view(np.int64), "probe": limits[:, i] >= 0})
                 for t in range(1, units):
-                    far = limits[:, i] == t
-                    wide = fp[far]
+                    wide = fp[limits[:, i] == t]
                     for flip in _flips(m, t) if len(wide) else ():
-                        yield pd.DataFrame({"fp": wide.view(np.int64), "node": node[far], "sketch": sketch[far], "mask": signed, "value": ((wide & np.uint64(m)) ^ flip).view(np.int64), "probe": True})
+                        yield pd.DataFrame({"fp": wide.view(np.int64), "mask": signed, "value": ((wide & np.uint64(m)) ^ flip).view(np.int64), "probe": True})
 
     filled = fps.join(counts, "fp", "left")
     # probe rows meet the fingerprints in the bucket they probe; a row of its own bucket is both
-    keyed = cut(filled.mapInPandas(probes, "fp long, node long, sketch binary, mask long, value long, probe boolean"))
+    keyed = cut(filled.mapInPandas(probes, "fp long, mask long, value long, probe boolean"))
     found = None
     for _ in range(BITS):
         # buckets that nobody probes make no pairs, however full
         loads = keyed.groupBy("mask", "value").agg(F.count("*").alias("n"), F.max("probe").alias("p"))
-        big = cut(loads.where((F.col("n") > bucket_rows) & F.col("p")).select("mask", "value"))
+        full = cut(loads.where(F.col("n") > bucket_rows).select("mask", "value", "p"))
+        big = full.where("p").select("mask", "value")
         fixed = [r["mask"] for r in big.select("mask").distinct().collect()]  # a few masks, not buckets
-        idle = cut(loads.where((F.col("n") > bucket_rows) & ~F.col("p")).select("mask", "value"))
-        full = big.unionAll(idle)
-        alone = {"two": F.lit(0), "chunk": F.lit(-1)}
-        small = (keyed if full.isEmpty() else keyed.join(full, ["mask", "value"], "left_anti")).withColumns(alone)
-        if texts and fixed:
-            sized = big.join(loads, ["mask", "value"]).select("mask", "value", F.ceil(F.col("n") * 2 / bucket_rows).alias("c"))
-            small = small.unionByName(_chunk_pairs(keyed.join(sized, ["mask", "value"])))
-        dealt = small.repartition("mask", "value", "two").sortWithinPartitions("mask", "value", "two", "fp")
-        links = dealt.mapInPandas(_links(bits, alike, near_rows, masks), "a long, b long")
+        small = keyed if full.isEmpty() else keyed.join(full.select("mask", "value"), ["mask", "value"], "left_anti")
+        dealt = small.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
+        links = dealt.mapInPandas(_links(bits), "a long, b long")
         found = links if found is None else found.unionAll(links)
-        if not fixed or texts:
+        if not fixed:
             break
         finer = F.create_map(*(x for m in fixed for x in (F.lit(m), F.array(*(F.lit(_signed(m & _FULL | s)) for s in _split(m & _FULL, bits + 1))))))
         held = keyed.join(big, ["mask", "value"])
         # a probe row sits in a bucket whose fixed bits are not all its own: it keeps those, and adds its own of the rest
         deeper = held.withColumn("_m", F.explode(finer[F.col("mask")]))
         value = F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.col("_m").bitwiseXOR(F.col("mask"))))
-        keyed = cut(deeper.select("fp", "node", "sketch", F.col("_m").alias("mask"), value.alias("value"), "probe"))
+        keyed = cut(deeper.select("fp", F.col("_m").alias("mask"), value.alias("value"), "probe"))
     return found.where("a <> b").distinct()
 
 
@@ -326,8 +277,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, bits: int = 2, key: str = "doc_
     """
     prints = cut(fingerprints(docs, k, key, text))
     nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    links = near_links(nodes.select("fp", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("sketch")), bits)
-    classes = connected_components(links)
+    classes = connected_components(near_links(nodes, bits))
     labelled = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(least, "component").select("fp", "component_id")
@@ -369,21 +319,125 @@ def _may_match(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
 
 
 def _mixed(x: np.ndarray, shards: int) -> np.ndarray:
-    h = x * np.uint64(0x9E3779B97F4A7C15)
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((h ^ (h >> np.uint64(29))) % np.uint64(shards)).astype(np.int64)
 
 
-def _common_grams(rows: DataFrame, text: str, k: int, one_in: int = 16, most: int = 300_000) -> np.ndarray:
-    """Sorted shingle hashes met in several texts of a sample. They only order shingles, so any list will do."""
-    sample = rows.where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0).select(text).distinct()
-    schema = pa.schema([("gram", pa.int64())])
+#: Shingles are met by the upper 48 bits of their hashes; what meets by chance is told apart later.
+_MET_BITS = 48
+
+
+def _set_blocks(rows: DataFrame, k: int, similarity: float, low: int, block_bytes: int) -> DataFrame:
+    """(block, lows, data): blocks of rows. data holds their keys and, of each different shingle set in the block, the digest,
+    size, parity and least hashes: all under low, or as many as a prefix holds; lows counts those that are not under low."""
+
+    def close(part: int, nth: int, keys: list, which: list, found: dict) -> tuple:
+        sets = [s for s, _ in found.values()]
+        size = np.array([len(s) for s in sets], np.int32)
+        met = [(s >> np.uint64(64 - _MET_BITS)).astype(np.int64) for s in sets]
+        under = [int(np.searchsorted(m, low)) for m in met]
+        taken = [max(u, min(len(m), _missing(len(m), similarity) + 1)) for u, m in zip(under, met, strict=True)]
+        flat = np.concatenate([m[:t] for m, t in zip(met, taken, strict=True)] or [np.zeros(0, np.int64)])
+        parity = np.frombuffer(b"".join(_parity(s) for s in sets), np.uint8)
+        data = blob(np.array(keys, np.int64), np.array(which, np.int32), np.array(list(found), np.uint64), size, np.array(taken, np.int32), np.diff(flat, prepend=0), parity)
+        return (part << 24) + nth, sum(taken) - sum(under), data
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 1 << 22):
-            yield arrow_rows(schema, (np.concatenate([_gram_set(t, k) for t in strings_as_bytes(batch.column(0))]).view(np.int64),))
+        part, nth, size, keys, which, found = TaskContext.get().partitionId(), 0, 0, [], [], {}
+        schema = pa.schema([("block", pa.int64()), ("rest", pa.int64()), ("data", pa.binary())])
+        for batch in batches(it, block_bytes):
+            for key, raw in zip(batch.column(0).cast(pa.int64()).to_pylist(), strings_as_bytes(batch.column(1)), strict=True):
+                grams = _gram_set(raw, k)
+                digest = _digest(grams)
+                keys.append(key)
+                which.append(found.setdefault(digest, (grams, len(found)))[1])
+                size += len(raw or b"")
+                if size >= block_bytes:
+                    yield arrow_rows(schema, [[x] for x in close(part, nth, keys, which, found)])
+                    nth, size, keys, which, found = nth + 1, 0, [], [], {}
+        if keys:
+            yield arrow_rows(schema, [[x] for x in close(part, nth, keys, which, found)])
+
+    return rows.mapInArrow(run, "block long, rest long, data binary")
+
+
+class _Sets:
+    """A block of _set_blocks, read back."""
+
+    def __init__(self, data: bytes, low: int) -> None:
+        self.keys, self.which, self.digest, self.size, taken, gaps, self.parity = unblob(data)
+        self.of = np.repeat(np.arange(len(taken)), taken)
+        self.gram = np.cumsum(gaps)
+        self.under = self.gram < low
+        self.asked, self.place, self.texts = np.unique(self.gram[self.under], return_inverse=True, return_counts=True)
+
+    def parities(self) -> list[bytes]:
+        width = np.array([max(64, 1 << max(0, int(n) - 1).bit_length()) // 8 for n in self.size], np.int64)
+        return [x.tobytes() for x in np.split(self.parity, np.cumsum(width)[:-1])] if len(width) else []
+
 
-    counts = sample.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(most).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+def _by_range(low: int, shards: int):
+    """The part of the hashes under low that each asked one falls in; parts are in the order of hashes."""
+    return lambda x: np.minimum((x / low * shards).astype(np.int64), shards - 1)
+
+
+def _frequencies(blocks: DataFrame, low: int, shards: int, crowd: int) -> DataFrame:
+    """(block, shard, met, kinds): for the hashes under low of a block, in order, 0: in one text, 1: in up to crowd, 2: in more."""
+    part_of = _by_range(low, shards)
+
+    def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for row in pdf.itertuples():
+                b = _Sets(row.data, low)
+                part = part_of(b.asked)
+                first = runs(part)
+                cuts = zip(part[first].tolist(), np.split(b.asked, first[1:]), np.split(b.texts, first[1:]), strict=True) if len(first) else ()
+                yield pd.DataFrame([(s, row.block, blob(np.diff(g, prepend=0), n.astype(np.uint32))) for s, g, n in cuts], columns=["shard", "block", "data"])
+
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, counts = zip(*(unblob(d) for d in pdf["data"]), strict=True)
+        asked = [np.cumsum(g) for g in asked]
+        grams, place = np.unique(np.concatenate(asked), return_inverse=True)
+        texts = np.bincount(place, np.concatenate(counts), len(grams))
+        kind = (texts > 1).astype(np.uint8) + (texts > crowd)
+        own = np.split(kind[place], np.cumsum([len(g) for g in asked])[:-1])
+        return pd.DataFrame({"block": pdf["block"], "shard": key[0], "met": [int((x > 0).sum()) for x in own], "kinds": [blob(x) for x in own]})
+
+    asked = blocks.select("block", "data").mapInPandas(ask, "shard int, block long, data binary")
+    return asked.groupBy("shard").applyInPandas(answer, "block long, shard int, met long, kinds binary")
+
+
+def _prefixes(similarity: float, low: int, shards: int):
+    """Entries of the blocks' prefixes by shard. Shingles are ordered: under low those in one text, in few, in many; then the rest.
+
+    An entry is a shingle that more than one text may have, the text's digest and its size, negative if the entry is within
+    the prefix that the smaller set of an alike pair needs.
+    """
+    inner = 2 * similarity / (1 + similarity)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for row in pdf.itertuples():
+                b = _Sets(row.data, low)
+                kind = np.full(len(b.gram), 3, np.int8)
+                if row.answers is not None and len(b.asked):
+                    kinds = [unblob(a["kinds"])[0] for a in sorted(row.answers, key=lambda a: a["shard"])]
+                    kind[b.under] = np.concatenate(kinds)[b.place]
+                order = np.lexsort((b.gram, kind, b.of))
+                of, first = b.of[order], runs(b.of)
+                rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                size = b.size[of].astype(np.int64)
+                longest, short = (size - np.ceil(share * size - _SLACK).astype(np.int64) for share in (similarity, inner))
+                kept = (rank <= longest) & (kind[order] > 0)
+                gram, node = b.gram[order][kept], b.digest[of[kept]]
+                signed = np.where(rank <= short, -size, size)[kept].astype(np.int32)
+                shard = _mixed(gram, shards)
+                by = np.lexsort((gram, shard))
+                first = runs(shard[by])
+                cuts = np.split(by, first[1:]) if len(first) else []
+                yield pd.DataFrame([(int(shard[c[0]]), blob(np.diff(gram[c], prepend=0), node[c], signed[c])) for c in cuts], columns=["shard", "data"])
+
+    return run
 
 
 def _prefix_links(shard_rows: pd.DataFrame, similarity: float, crowd: int) -> pd.DataFrame:
@@ -393,13 +447,14 @@ def _prefix_links(shard_rows: pd.DataFrame, similarity: float, crowd: int) -> pd
     the other's. By size, every text is chained to the one with a short prefix before it: sizes between those of a pair are
     nearer to each other than its own, so the chains connect all that the pairs would.
     """
-    gram, node, size = (np.concatenate([np.frombuffer(b, t) for b in shard_rows[c]]) for c, t in (("grams", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
+    gaps, nodes, sizes = zip(*(unblob(d) for d in shard_rows["data"]), strict=True)
+    gram, node, size = np.concatenate([np.cumsum(g) for g in gaps]), np.concatenate(nodes).view(np.int64), np.concatenate(sizes)
     short, size = size < 0, np.abs(size).astype(np.int64)
     order = np.lexsort((node, size, gram))
     gram, node, size, short = gram[order], node[order], size[order], short[order]
     new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
     gram, node, size, short = gram[new], node[new], size[new], short[new]
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    first = runs(gram)
     load = np.diff(np.concatenate([first, [len(gram)]]))
     start, crowded = np.repeat(first, load), np.repeat(load > crowd, load)
     at = np.arange(len(gram))
@@ -457,58 +512,46 @@ def _true_links(node: np.ndarray, sets: list[np.ndarray], half: np.ndarray, simi
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", crowd: int = 16, shard_entries: int = 1_500_000, chunk_bytes: int = 32 << 20) -> DataFrame:
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", crowd: int = 16, share: float = 0.35, block_bytes: int = 8 << 20, shard_entries: int = 1_000_000, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(key, component_id): documents linked if their sets of k-word shingles have a Jaccard similarity of at least similarity.
 
-    No link is lost. Shingles are ordered, those common in a sample last; of two sets this alike, the first shingle that
-    they share lies among the first of each (prefix filter). Pairs of texts that meet in such a shingle pass two bounds, on
-    sizes and on parities of cells, which no true pair fails; of a crowded shingle's texts only chains are taken, none
-    of which is dropped. What these candidates connect is compared whole, set by set: in one task, or where the
-    sets exceed chunk_bytes in chunks of which every two meet. Equal sets are one node, known by a 64-bit hash.
+    No link is lost. Shingles are ordered, rare ones first; of two sets this alike, the first shingle that they share lies
+    among the first of each (prefix filter). How many texts hold a shingle is counted for the lowest share of all hashes,
+    from which prefixes are taken; those that one text holds link nothing and are not sent on. Pairs of texts that meet in a
+    shingle pass two bounds, on sizes and on parities of cells, which no true pair fails; of a crowded shingle's texts only
+    chains are taken, none of which is dropped. What these candidates connect is compared whole, set by set: in one task,
+    or where the sets exceed chunk_bytes in chunks of which every two meet. Equal sets are one node, known by a 64-bit hash.
     Wordless and null texts are equal to each other; rows without a key are left out.
     """
     rows = docs.where(F.col(key).isNotNull()).select(key, text)
-    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), ("parity", pa.binary())])
+    low = int(share * (1 << _MET_BITS))
+    blocks = cut(_set_blocks(rows, k, similarity, low, block_bytes))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 1 << 23):
-            sets = [_gram_set(raw, k) for raw in strings_as_bytes(batch.column(1))]
-            digest = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
-            yield arrow_rows(schema, (batch.column(0).cast(pa.int64()), digest, [len(s) for s in sets], [_parity(s) for s in sets]))
-
-    prints = cut(rows.mapInArrow(run, "key long, digest long, n int, parity binary"))
-    nodes = prints.groupBy("digest").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
-    entries = int((prints.agg(F.sum("n")).first()[0] or 0) * (1 - similarity)) + 1
-    shards = -(-entries // shard_entries)
-    common = _common_grams(rows, text, k)
-    inner = 2 * similarity / (1 + similarity)
-    parts = pa.schema([("shard", pa.int32()), ("grams", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+    def prints_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for data in pdf["data"]:
+                b = _Sets(data, low)
+                yield pd.DataFrame({"key": b.keys, "digest": b.digest[b.which].view(np.int64)})
 
-    def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 1 << 23):
-            grams, nodes, sizes = [], [], []
-            for raw in strings_as_bytes(batch.column(1)):
-                own = _gram_set(raw, k)
-                n = len(own)
-                if not n:
-                    continue
-                late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(n, bool)
-                first = np.concatenate([own[~late], own[late]])[: _missing(n, similarity) + 1]
-                grams.append(first)
-                nodes.append(np.full(len(first), _digest(own), np.uint64))
-                # a negative size: within the prefix of the smaller set of a pair
-                sizes.append(np.where(np.arange(len(first)) <= _missing(n, inner), -n, n).astype(np.int32))
-            if grams:
-                g, d, z = (np.concatenate(x) for x in (grams, nodes, sizes))
-                shard = _mixed(g, shards)
-                order = np.lexsort((g, shard))
-                g, d, z, own = g[order], d[order], z[order], shard[order]
-                at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                cuts = [x.tobytes() for x in np.split(g, at[1:])], [x.tobytes() for x in np.split(d, at[1:])], [x.tobytes() for x in np.split(z, at[1:])]
-                yield arrow_rows(parts, (own[at].astype(np.int32), *cuts))
-
-    dealt = rows.mapInArrow(prefixes, "shard int, grams binary, nodes binary, sizes binary").groupBy("shard")
-    met = dealt.applyInPandas(lambda pdf: _prefix_links(pdf, similarity, crowd), "a long, b long, chain boolean")
+    def nodes_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for data in pdf["data"]:
+                b = _Sets(data, low)
+                least = np.full(len(b.digest), np.iinfo(np.int64).max)
+                np.minimum.at(least, b.which, b.keys)
+                yield pd.DataFrame({"digest": b.digest.view(np.int64), "least": least, "n": b.size, "parity": b.parities()})
+
+    prints = blocks.select("data").mapInPandas(prints_of, "key long, digest long")
+    nodes = blocks.select("data").mapInPandas(nodes_of, "digest long, least long, n int, parity binary")
+    # one size and parity to a digest, up to equal hashes
+    nodes = nodes.groupBy("digest").agg(F.min("least").alias("least"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    held, rest = blocks.agg(F.sum(F.octet_length("data")), F.sum("rest")).first()
+    shards = 1 + int(held or 0) // (5 * shard_entries)  # five bytes a hash or so
+    kinds = cut(_frequencies(blocks, low, shards, crowd))
+    entries = (kinds.agg(F.sum("met")).first()[0] or 0) + (rest or 0)
+    by_block = kinds.groupBy("block").agg(F.collect_list(F.struct("shard", "kinds")).alias("answers"))
+    dealt = blocks.select("block", "data").join(by_block, "block", "left").mapInPandas(_prefixes(similarity, low, 1 + entries // shard_entries), "shard int, data binary")
+    met = dealt.groupBy("shard").applyInPandas(lambda pdf: _prefix_links(pdf, similarity, crowd), "a long, b long, chain boolean")
     met = cut(met.groupBy("a", "b").agg(F.max("chain").alias("chain")))
 
     def bounded(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
