@@ -8,8 +8,9 @@
 3. The stored lists of all terms of a window, each shifted by its offset, are intersected: a start that every list holds
    is an exact phrase match. Proximity matches let each term stand up to slop words off its place.
 
-What is broadcast is the test set's terms and windows, if they count no more than broadcast_rows; beyond that the joins
-shuffle, and adaptive execution splits hot terms.
+What is broadcast is the test set's terms and windows, if their windows' terms count no more than broadcast_rows. Beyond that
+the second pass deals its tokens by term, without the texts, and brings the starts back to the texts; adaptive execution
+splits hot terms.
 """
 
 from __future__ import annotations
@@ -42,9 +43,9 @@ def item_windows(items: DataFrame, k: int, key: str = "item_id", text: str = "te
     return words.select(key, "_w", starts.alias("_i")).select(key, F.slice("_w", F.col("_i"), F.lit(k)).alias("terms")).distinct()
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it is known to have rows rows at most; df must be a written copy."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _is_small(df: DataFrame, rows: int) -> bool:
+    """Whether a written copy has rows rows at most."""
+    return df.limit(rows + 1).count() <= rows
 
 
 class PositionalIndex:
@@ -54,40 +55,43 @@ class PositionalIndex:
         self.slop, self.doc_key, self.item_key = slop, doc_key, item_key
         found = cut(item_windows(items, k, item_key))
         windows = cut(found.select("terms").distinct().withColumn("wid", F.monotonically_increasing_id()))
-        self.members = cut(found.join(windows, "terms").select("wid", item_key))
+        self.members = found.join(windows, "terms").select("wid", item_key)
         spread = windows.select("wid", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
-        vocabulary = _small(cut(spread.select("term").distinct()), broadcast_rows)
+        vocabulary = spread.select("term").distinct()
+        small = _is_small(spread, broadcast_rows)
         # a document is its key and its text: rows that differ in either are told apart
         split = docs.select(F.col(doc_key).alias("doc"), F.xxhash64("text").alias("txt"), _split(F.col("text")).alias("words"))
-        terms = split.select(F.explode("words").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("cf"))
+        terms = split.select(F.explode("words").alias("term")).join(F.broadcast(vocabulary) if small else vocabulary, "term").groupBy("term").agg(F.count("*").alias("cf"))
         ordered = spread.join(cut(terms), "term").groupBy("wid", "len").agg(F.sort_array(F.collect_list(F.struct("cf", "off", "term"))).alias("by"))
         # a window one of whose terms never occurs cannot occur; k terms a window at most, so the lists are short
         live = cut(ordered.where(F.size("by") == F.col("len")))
         second = F.get("by", F.lit(1))
         rare = live.select("wid", "len", F.get("by", F.lit(0))["term"].alias("term"), F.get("by", F.lit(0))["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2"))
-        anchors = _small(cut(rare), broadcast_rows)
-        tokens = split.select("doc", "txt", "words", F.posexplode("words").alias("pos", "term"))
-        hits = tokens.join(anchors, "term", "left")
-        start = F.col("pos") - F.col("off")
+        first, around = F.greatest(F.col("start") - slop, F.lit(1)), F.col("start") + F.col("len") + slop
         if slop:
             fits = F.col("wid").isNotNull()
         else:
-            fits = (start >= 1) & (start + F.col("len") <= F.size("words")) & (F.col("term2").isNull() | F.get("words", start + F.col("off2")).eqNullSafe(F.col("term2")))
-        first = F.greatest(start - slop, F.lit(1))
-        around = F.slice("words", first + 1, F.greatest(start + F.col("len") + slop - first, F.lit(0)))
-        # position 0 of every row is its count of words: one row for each row of docs
-        n_words = F.when(F.col("pos") == 0, _count(F.col("words")))
-        kept = hits.where((F.col("pos") == 0) | fits).select("doc", "txt", n_words.alias("n_words"), "wid", start.cast("int").alias("start"), first.cast("int").alias("first"), F.when(F.col("pos") > 0, around).alias("around"))
-        stored = cut(kept)
+            fits = (F.col("start") >= 1) & (F.col("start") + F.col("len") <= F.size("words")) & (F.col("term2").isNull() | F.get("words", F.col("start") + F.col("off2")).eqNullSafe(F.col("term2")))
+        start = (F.col("pos") - F.col("off")).cast("int")
+        if small:
+            # the words stay where they are: only the surroundings of hits are copied. Position 0 of a row is its count of words
+            tokens = split.select("doc", "txt", "words", F.posexplode("words").alias("pos", "term"))
+            hits = tokens.join(F.broadcast(rare), "term", "left").withColumn("start", start).where((F.col("pos") == 0) | fits)
+        else:
+            # thin tokens are dealt by term; the starts that they give go back to the texts
+            thin = split.select("doc", "txt", F.posexplode("words").alias("pos", "term")).join(rare, "term")
+            starts = thin.select(F.col("doc").alias("_doc"), F.col("txt").alias("_txt"), "wid", "len", "off2", "term2", start.alias("start")).distinct()
+            at = split.join(starts, split["doc"].eqNullSafe(starts["_doc"]) & split["txt"].eqNullSafe(starts["_txt"])).where(fits)
+            hits = at.select("doc", "txt", "words", "wid", "len", "start", F.lit(1).alias("pos"))
+            hits = hits.unionByName(split.select("doc", "txt", "words", F.lit(0).alias("pos")), allowMissingColumns=True)
+        near = F.when(F.col("pos") > 0, F.slice("words", first + 1, F.greatest(around - first, F.lit(0))))
+        stored = cut(hits.select("doc", "txt", F.when(F.col("pos") == 0, _count(F.col("words"))).alias("n_words"), "wid", "start", first.cast("int").alias("first"), near.alias("around")))
         self.documents = stored.where("n_words is not null").select("doc", "txt", "n_words")
         self.starts = stored.where("n_words is null").select("doc", "txt", "wid", "start").distinct()
-        near = stored.where("n_words is null").select("doc", "txt", "first", F.posexplode("around").alias("at", "term"))
-        self.postings = near.where("term <> ''").select("doc", "txt", "term", (F.col("first") + F.col("at")).alias("pos")).distinct()
+        placed = stored.where("n_words is null").select("doc", "txt", "first", F.posexplode("around").alias("at", "term"))
+        self.postings = placed.where("term <> ''").select("doc", "txt", "term", (F.col("first") + F.col("at")).alias("pos")).distinct()
         self.windows = live.select("wid", "len", F.explode("by").alias("t")).select("wid", "len", F.col("t.off").alias("off"), F.col("t.term").alias("term"))
 
-    def _same(self, left: DataFrame, right: DataFrame) -> Column:
-        return left["doc"].eqNullSafe(right["doc"]) & left["txt"].eqNullSafe(right["txt"])
-
     def matches(self) -> DataFrame:
         """(doc, txt, wid, start, len): starts (from 1) at which every term of the window stands at its place, or within slop of it."""
         asked = self.starts.join(self.windows, "wid").withColumn("place", F.col("start") + F.col("off"))

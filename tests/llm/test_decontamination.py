@@ -59,7 +59,7 @@ def tables(spark):
 def test_against_brute_force(tables, k, bound, monkeypatch):
     docs, items, doc_rows, item_rows = tables
     if not bound:
-        monkeypatch.setattr(D, "_small", lambda df, rows: df)  # shuffled joins in place of broadcasts
+        monkeypatch.setattr(D, "_is_small", lambda df, rows: False)  # shuffled joins in place of broadcasts
     got = D.decontaminate(docs, items, k=k).drop("item_ids").collect()
     assert sorted(map(tuple, got), key=repr) == brute(doc_rows, item_rows, k, 2)
 
@@ -74,6 +74,18 @@ def test_main_path_runs_no_python(tables):
     assert plan
 
 
+def test_long_documents_beyond_the_broadcast_bound(spark):
+    """Tokens travel without their texts: a document of n words shuffles a few bytes a word, not n words a word."""
+    rng = random.Random(4)
+    text = " ".join(words(rng, 60_000, 300))
+    items = [(i, " ".join(text.split()[at : at + 12])) for i, at in enumerate((0, 777, 30_000, 59_988))]
+    docs = spark.createDataFrame([(1, text), (2, text[:90_000])], "doc_id bigint, text string")
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    got = D.PositionalIndex(docs, tests, 8, broadcast_rows=0).matches().collect()
+    assert {(r["doc"], r["wid"], r["start"]) for r in got} == {(r["doc"], r["wid"], r["start"]) for r in D.PositionalIndex(docs, tests, 8).matches().collect()}
+    assert {r["start"] for r in got if r["doc"] == 1} >= {1, 5, 778, 30_001, 59_989, 59_993}
+
+
 def test_proximity_takes_gaps(spark):
     docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, "aa xx bb cc dd"), (3, "aa xx yy zz bb cc dd")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, "aa bb cc dd")], "item_id bigint, text string")
