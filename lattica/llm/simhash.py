@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import LOWER_BYTES, arrow_rows, batches, blob, cut, runs, strings_as_bytes, unblob
-from lattica.llm.components import connected_components
+from lattica.llm.components import connected_components, least_reached
 
 BITS = 64
 _FULL = (1 << BITS) - 1
@@ -133,20 +133,6 @@ def _flips(mask: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(1, radius + 1) for c in combinations(bits, r)], np.uint64)
 
 
-def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Label of each of n rows: the smallest row reachable over the pairs (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Which of the pairs (a, b) of n rows to keep so that they still connect what all of them connect (Boruvka)."""
     part, kept = np.arange(n), []
@@ -160,7 +146,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         np.minimum.at(first, pb[live], live)
         pick = np.unique(first[first < len(a)])
         kept.append(pick)
-        part = _labels(pa[pick], pb[pick], n)[part]
+        part = least_reached(pa[pick], pb[pick], n)[part]
 
 
 def _links(bits: int):

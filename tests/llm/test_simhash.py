@@ -109,13 +109,20 @@ def test_nothing(nothing):
     assert S.drop_near_copies(nothing).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("fill", [250_000, 40, 7])
+def test_components(spark, fill):
+    """In one partition, and over rounds of many; with a long path, a hub, loops and nulls."""
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
     df = spark.createDataFrame([*pairs, (7, 7), (None, 1), (999, 999)], "a bigint, b bigint")
     nodes = {n for p in pairs for n in p if p[0] != p[1]}
-    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == classes(nodes, pairs)
+    rows = connected_components(df.repartition(3), partition_edges=fill).collect()
+    assert {r["node"]: r["component"] for r in rows} == classes(nodes, pairs)
+    assert len(rows) == len(nodes)
     assert connected_components(df.where("false")).collect() == []
+    named = connected_components(df.select(F.concat(F.lit("n"), "a").alias("a"), F.concat(F.lit("n"), "b").alias("b")), partition_edges=fill).collect()
+    text = {f"n{n}" for n in nodes}
+    assert {r["node"]: r["component"] for r in named} == classes(text, [(f"n{x}", f"n{y}") for x, y in pairs])
 
 
 def brute_classes(rows):
