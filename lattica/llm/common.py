@@ -35,10 +35,19 @@ def shared_checkpoint(spark: SparkSession) -> None:
     context.setCheckpointDir(named or "/tmp/lattica-checkpoint")
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python in batches of a few megabytes, unless the session says otherwise: at Spark's default of
+    64 MB, a batch of long texts is held several times over on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m") in ("64m", "67108864b", "67108864"):
+        conf.set(key, "4m")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: later jobs read one and the same copy."""
     shared_checkpoint(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return narrow(df).checkpoint(eager=True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import batches
+from lattica.llm.common import batches, narrow
 
 WINDOW, CONTEXT, PAD = 256, 16, 10
 _TOGETHER = 2048
@@ -207,7 +207,8 @@ def train(texts: list[bytes], labels: list[str], width: int = 8, span: int = 64,
 
 
 def training_sample(docs: DataFrame, learnable: Column, per_language: int = 150, most_chars: int = 8_000) -> tuple[list[bytes], list[str]]:
-    """Texts and languages of a bounded sample: per language so many documents with a letter, chosen by a hash of their id."""
+    """Texts and languages of a bounded sample: per language so many documents with a letter, chosen by a hash of their id;
+    of a repeated id the least language and text are taken."""
     good = learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars)
     known = docs.where(good).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     # a bound on the hash for each language leaves about four times the texts wanted, so no task sees a language whole
@@ -215,11 +216,11 @@ def training_sample(docs: DataFrame, learnable: Column, per_language: int = 150,
     span = F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
     thin = known.join(share, "lang").where(F.col("h").cast("double") + float(1 << 63) <= span)
     chosen = {}
-    for lang, doc, h in thin.select("lang", "doc_id", "h").collect():  # about 4 * per_language rows a language
+    for lang, doc, h in thin.select("lang", "doc_id", "h").distinct().collect():  # about 4 * per_language rows a language
         chosen.setdefault(lang, []).append((h, doc))
     ids = sorted({doc for found in chosen.values() for _, doc in sorted(found)[:per_language]})
-    rows = docs.where(good & F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    own = docs.where(good & F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("t"))
+    rows = sorted(own.select("doc_id", "t.lang", "t.text").collect()) if ids else []
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 
 
@@ -228,11 +229,14 @@ def fit(docs: DataFrame, learnable: Column, **bounds: int) -> LanguageModel:
     return train(*training_sample(docs, learnable, **bounds))
 
 
-def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score"), keep: set[str] | None = None, text: str = "text") -> DataFrame:
-    """docs with the predicted language and its probability or, if keep is given, docs as they are without other languages.
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score"), keep: set[str] | None = None, least: float = 0.0, text: str = "text") -> DataFrame:
+    """docs with the predicted language and its probability or, if keep is given, docs as they are without those of other
+    languages or a probability under least.
 
-    A null text or one without a letter is und, at score 0. Every row is labelled on its own whole text; no shuffle.
+    A null text or one without a letter is und, at score 0. Columns of docs that are called like the new ones are replaced.
+    Every row is labelled on its own whole text; no shuffle.
     """
+    docs = docs if keep is not None else docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     schema = docs.schema if keep is not None else T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
@@ -241,9 +245,9 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
         for batch in batches(it, 1 << 21):
             out = model.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
             if keep is not None:
-                yield batch.filter(pa.array([lang in keep for lang, _ in out]))
+                yield batch.filter(pa.array([lang in keep and p >= least for lang, p in out]))
                 continue
             new = [pa.array([lang for lang, _ in out], pa.string()), pa.array([p for _, p in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return narrow(docs).mapInArrow(run, schema)

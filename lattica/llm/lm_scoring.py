@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER_BYTES, blob, cut, runs, strings_as_bytes, unblob
+from lattica.llm.common import LOWER_BYTES, blob, cut, narrow, runs, strings_as_bytes, unblob
 
 DISCOUNT = 0.75
 _LOWEST = -8.0  # of a quantised log10 probability
@@ -264,7 +264,7 @@ def encode_blocks(docs: DataFrame, training: Column, block_bytes: int) -> DataFr
         if ids:
             yield pa.RecordBatch.from_pandas(close(part, nth, ids, held, tokens, lengths, vocabulary), preserve_index=False)
 
-    return rows.mapInArrow(run, "block long, n_words long, n_tokens long, docs binary, hashes binary, counts binary")
+    return narrow(rows).mapInArrow(run, "block long, n_words long, n_tokens long, docs binary, hashes binary, counts binary")
 
 
 def _shards_of(x: np.ndarray, shards: int) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from lattica.llm.common import HASH_SPAN, arrow_rows, batches, cut, rank_within
+from lattica.llm.common import HASH_SPAN, arrow_rows, batches, cut, narrow, rank_within
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
@@ -131,7 +131,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, key: s
                     out.append((k, at // width, at // 4, len(part) // 4, zlib.crc32(part)))
             yield arrow_rows(schema, zip(*out, strict=True))
 
-    out = docs.select(key, text).mapInArrow(run, "key long, piece int, start long, length long, crc long")
+    out = narrow(docs.select(key, text)).mapInArrow(run, "key long, piece int, start long, length long, crc long")
     return out.select(F.col("key").alias(key), "piece", "start", "length", F.col("crc").alias("ids_crc32"))
 
 

@@ -19,8 +19,10 @@ def interleave(rows: DataFrame, key: str, stratum: str, shards: int, seed: int =
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard); sizes differ by one at most.
 
     rows must be cheap to read twice and hold key and stratum. A null stratum is a stratum of its own; repeated
-    rows are kept and numbered one after the other; with fewer rows than shards some shards stay empty.
+    rows are kept and numbered one after the other; with fewer rows than shards some shards stay empty. Columns called
+    shard or slot are replaced, and so are those of the working names below.
     """
+    rows = rows.drop(*({"shard", "slot", "_hash", "_bucket", "_fraction", "_rank", "_all", "_before", "_at", "_s", "_b"} - {key, stratum}))
     # one written copy: every pass below must see the same rows in the same buckets
     keyed = cut(rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(HASH_SPAN - 1)))
     total = keyed.count()
@@ -44,7 +46,7 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, text_crc32, shard, slot) of every document.
 
     size: UTF-8 bytes of the text (null: none) plus 16. A null text has the crc32 of an empty one. Copies of a text
-    are dealt like any other rows: the law is equal row counts, which groups of copies could not keep whole.
+    are dealt like any other rows: the law is equal row counts, and a group of copies may hold more rows than a shard.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", "source", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER_BYTES, arrow_rows, batches, blob, cut, runs, strings_as_bytes, unblob
+from lattica.llm.common import LOWER_BYTES, arrow_rows, batches, blob, cut, narrow, runs, strings_as_bytes, unblob
 from lattica.llm.components import connected_components, least_reached
 
 BITS = 64
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text
             fps = np.array([fingerprint(shingles(t, k)) for t in strings_as_bytes(batch.column(1))], np.uint64)
             yield arrow_rows(schema, (batch.column(0).cast(pa.int64()), fps.view(np.int64)))
 
-    return rows.mapInArrow(run, "key long, fp long").select(F.col("key").alias(key), "fp")
+    return narrow(rows).mapInArrow(run, "key long, fp long").select(F.col("key").alias(key), "fp")
 
 
 def bit_groups(fps: DataFrame, groups: int) -> list[int]:
@@ -344,7 +344,7 @@ def _set_blocks(rows: DataFrame, k: int, similarity: float, low: int, block_byte
         if keys:
             yield arrow_rows(schema, [[x] for x in close(part, nth, keys, which, found)])
 
-    return rows.mapInArrow(run, "block long, rest long, data binary")
+    return narrow(rows).mapInArrow(run, "block long, rest long, data binary")
 
 
 class _Sets:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import batches
+from lattica.llm.common import batches, narrow
 
 _END = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -28,8 +28,10 @@ _BEGINNINGS = (3, 4, 5, 6, 7)
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, different words) of each sentence of the lower-cased text; sentences without a word are left out."""
+    """(start, end, different words in lower case) of each sentence of the text; sentences without a word are left out."""
     at, low = 0, text.lower()
+    if len(low) != len(text):  # a letter that grows keeps its case, so that places are the text's
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
     for m in [*_END.finditer(low), None]:
         end = m.start() if m else len(low)
         words = _WORD.findall(low, at, end)
@@ -155,16 +157,17 @@ def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float =
 def training_sample(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", most_toxic: int = 1500, most_clean: int = 4000, most_chars: int = 20_000) -> tuple[list[str], list[int]]:
     """Texts and labels of a bounded sample of labelled documents, chosen by a hash of their id; learnable sees doc_id.
 
-    A document with several labels counts as toxic if one of them says so. Longer texts are not sampled.
+    A document with several labels counts as toxic if one of them says so; of a repeated id the least text is taken. Longer
+    texts are not sampled.
     """
     known = labels.where(learnable).groupBy("doc_id").agg(F.max(label).alias("y")).where("y in (0, 1)")
     fits = docs.where(F.length("text").between(1, most_chars)).select("doc_id").distinct()
     pool = known.join(fits, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     few = [pool.where(F.col("y") == y).orderBy("h", "doc_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     chosen = few[0].unionAll(few[1]).select("doc_id", "y", "h")  # at most most_toxic + most_clean rows
-    rows = docs.where(F.length("text").between(1, most_chars)).join(F.broadcast(chosen), "doc_id").select("h", "text", "y").collect()
+    own = docs.where(F.length("text").between(1, most_chars)).join(F.broadcast(chosen), "doc_id")
+    rows = own.groupBy("doc_id", "h", "y").agg(F.min("text").alias("text")).select("h", "text", "y").collect()
     rows.sort()
-    rows = rows[: most_toxic + most_clean]
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
@@ -178,8 +181,10 @@ SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("wo
 def score_texts(docs: DataFrame, model: ToxicityModel, names: tuple[str, str, str, str] = ("score", "worst_start", "worst_end", "worst_score"), keep: float | None = None, text: str = "text") -> DataFrame:
     """docs with the score and the worst sentence, or, if keep is given, docs as they are without those that score keep or more.
 
-    A null, empty or wordless text scores 0. Every row is scored on its own whole text; no shuffle.
+    A null, empty or wordless text scores 0. Columns of docs that are called like the new ones are replaced. Every row is
+    scored on its own whole text; no shuffle.
     """
+    docs = docs if keep is not None else docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     schema = docs.schema if keep is not None else T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, SCORED.fields, strict=True))])
 
@@ -193,4 +198,4 @@ def score_texts(docs: DataFrame, model: ToxicityModel, names: tuple[str, str, st
             new = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.float64(), pa.int32(), pa.int32(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return narrow(docs).mapInArrow(run, schema)

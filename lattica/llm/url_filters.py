@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, batches, cut
+from lattica.llm.common import ascii_lower, batches, cut, narrow
 from lattica.llm.components import connected_components
 from lattica.llm.html_extraction import tokens
 
@@ -112,7 +112,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.string())], schema=schema)
 
     named = pages.where(F.col(html).rlike(r"(?i)canonical|refresh") & page_key(F.col(url)).isNotNull()).select(F.col(url), F.col(html))
-    found = named.mapInArrow(run, "a string, t string")
+    found = narrow(named).mapInArrow(run, "a string, t string")
     return found.select(page_key(F.col("a")).alias("a"), page_key(F.col("t")).alias("b")).where("a is not null and b is not null and a <> b")
 
 

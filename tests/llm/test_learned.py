@@ -54,6 +54,25 @@ def test_toxicity_locates_the_sentence(toxic_model):
     assert toxic_model.score("waa " * 5000 + "snarl")[0] >= 0.7
 
 
+def test_sentences_keep_their_places():
+    text = "İİİİ ok. bad x."
+    assert [(text[a:b], ws) for a, b, ws in X.sentences(text)] == [("İİİİ ok", ["ok", "İİİİ"]), (" bad x", ["bad", "x"])]
+
+
+def test_training_samples_are_bounded(spark):
+    """A repeated id counts once, whatever its rows."""
+    docs = spark.createDataFrame([(i % 3, f"text {i % 7} of it", "aa" if i % 3 else "bb", 1.0, "x") for i in range(300)], "doc_id bigint, text string, lang string, score double, lang_pred string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (2, 0)], "doc_id bigint, toxic int")
+    texts, y = X.training_sample(docs, labels, F.lit(True))
+    assert (len(texts), sorted(y)) == (3, [0, 0, 1])
+    texts, langs = L.training_sample(docs, F.lit(True))
+    assert (len(texts), sorted(langs)) == (3, ["aa", "aa", "bb"])
+    model = L.fit(docs, F.lit(True))
+    assert L.identify(docs, model).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert L.identify(docs, model, keep={"aa"}, least=1.01).count() == 0
+    assert X.score_texts(docs, X.fit(docs, labels, F.lit(True))).columns[:4] == ["doc_id", "text", "lang", "lang_pred"]
+
+
 def test_toxicity_tables(spark, documents, nothing, toxic_model):
     out = X.score_texts(documents.select("doc_id", "text"), toxic_model)
     assert out.count() == documents.count()
