@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +38,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for files that all executors share; a local session may have its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "/tmp/lattica"
+
+
 # the standard sparse cells: every seventh event is NA, some errors are NM
 def _nm():
     return (F.col("event_id") % 7 != 0) & (F.col("event_type") == "error") & (F.col("event_id") % 11 == 0)
@@ -132,12 +139,13 @@ def sort_by_cells(spark, sf_dir):
 
 
 def _two_sides(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0")
-    customers = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
-    return Frame.from_df(orders, "o_custkey", ["o_orderkey", "o_totalprice"], "o_orderkey"), Frame.from_df(customers, "c_custkey", ["c_name"], "c_custkey")
+    """Whole tables under keys of which each side lacks some: customers stand at one and a half times their key."""
+    orders = Frame.from_df(_table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey", "o_totalprice"], "o_orderkey")
+    shifted = F.floor(F.col("c_custkey") * 3 / 2)
+    return orders, Frame.from_df(_table(spark, sf_dir, "customer"), shifted, ["c_name"], "c_custkey")
 
 
-_SIDES = "WITH o AS (SELECT * FROM orders WHERE o_custkey % 3 <> 0), c AS (SELECT * FROM customer WHERE c_custkey % 2 = 0)\n"
+_SIDES = "WITH o AS (SELECT * FROM orders), c AS (SELECT CAST(floor(c_custkey * 3 / 2.0) AS BIGINT) AS c_custkey, c_name FROM customer)\n"
 
 
 def _join_query(how: str, sql: str):
@@ -228,10 +236,9 @@ def append_rows_missing_cols(spark, sf_dir):
     return a.append_rows(b).result()
 
 
-@_query(_EV + "SELECT event_id AS key, round(v, 3) AS v, nm FROM ev WHERE event_id % 4 = 1 UNION ALL SELECT event_id, round(v, 3), nm FROM ev WHERE event_id % 4 = 3")
+@_query(_EV + "SELECT event_id AS key, round(v, 3) AS v, nm FROM ev UNION ALL SELECT user_id, round(v, 3), nm FROM ev")
 def series_concat(spark, sf_dir):
-    s = _events(spark, sf_dir, "event_id")
-    return _out(s.filter_by_keys(lambda k: k % 4 == 1).concat(s.filter_by_keys(lambda k: k % 4 == 3)))
+    return _out(_events(spark, sf_dir, "event_id").concat(_events(spark, sf_dir, "user_id")))
 
 
 @_query("""SELECT coalesce(c_nationkey, s_nationkey) AS key, c_custkey, s_suppkey FROM
@@ -333,10 +340,10 @@ def last_n_by_key(spark, sf_dir):
     return _joined(_events(spark, sf_dir).last_n_by_key(2))
 
 
-@_query("SELECT user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS v FROM events WHERE event_id % 7 <> 0 GROUP BY 1")
+@_query("SELECT user_id AS key, coalesce(string_agg(event_type, '' ORDER BY event_id) FILTER (WHERE event_id % 7 <> 0), '') AS v FROM events GROUP BY 1")
 def monoid_concat_by_key(spark, sf_dir):
-    df = _table(spark, sf_dir, "events").where("event_id % 7 <> 0")
-    return _out(Series.from_df(df, "user_id", "event_type", "event_id").reduce_by_key(R.MonoidReducer("", lambda a, b: F.concat(a, b))), None)
+    present = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    return _out(Series.from_df(_table(spark, sf_dir, "events"), "user_id", present, "event_id").reduce_by_key(R.MonoidReducer("", lambda a, b: F.concat(a, b))), None)
 
 
 @_query("SELECT user_id AS key, string_agg(event_type, '>' ORDER BY event_id) AS v FROM events GROUP BY 1")
@@ -413,10 +420,12 @@ def roll_forward_by_key(spark, sf_dir):
     return _out(_events(spark, sf_dir).roll_forward(by=["__k"]))
 
 
-@_query(_EV + """, s AS (SELECT * FROM ev WHERE event_id % 3 <> 1), l AS (SELECT *, max(CASE WHEN v IS NOT NULL OR nm THEN event_id END) OVER (ORDER BY event_id) AS e FROM s)
-SELECT l.event_id AS key, round(ev.v, 3) AS v, coalesce(ev.nm, false) AS nm FROM l LEFT JOIN ev ON ev.event_id = l.e AND l.event_id - l.e <= 1""")
+@_query(_EV + """, s AS (SELECT *, event_id + CASE WHEN event_id % 7 = 0 THEN event_id % 3 ELSE 0 END AS k FROM ev), l AS (SELECT *, max(CASE WHEN v IS NOT NULL OR nm THEN event_id END) OVER (ORDER BY event_id) AS e FROM s)
+SELECT l.k AS key, round(s.v, 3) AS v, coalesce(s.nm, false) AS nm FROM l LEFT JOIN s ON s.event_id = l.e AND l.k - s.k <= 2""")
 def roll_forward_up_to(spark, sf_dir):
-    return _out(_events(spark, sf_dir, "event_id").filter_by_keys(lambda k: k % 3 != 1).roll_forward_up_to(1))
+    """Keys of missing cells lie one, two or three beyond the cell before."""
+    s = _events(spark, sf_dir, "event_id").map_keys(lambda k: k + F.when(k % 7 == 0, k % 3).otherwise(0))
+    return _out(s.roll_forward_up_to(2))
 
 
 @_query(_EV + "SELECT event_id AS key, round(lag(v, 3) OVER (ORDER BY event_id), 3) AS v, coalesce(lag(nm, 3) OVER (ORDER BY event_id), false) AS nm FROM ev")
@@ -537,9 +546,7 @@ def row_group_lookup(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     from lattica.sources import delimited as D
 
-    # an input to the reader only, on a file system that this session shares
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{folder}/csv-roundtrip"
+    path = f"{shared_folder(spark)}/csv-roundtrip"
     dialect = D.CSV.with_(header=True, row_delim=D.UNIX, row_delim_in_quotes=False)
     frame = Frame.from_df(_table(spark, sf_dir, "supplier"), "s_suppkey", ["s_name", "s_acctbal"], "s_suppkey")
     D.write(frame, path, dialect, "overwrite")
@@ -554,3 +561,6 @@ def all_columns(spark, sf_dir):
     n = frame.get(all_cols().as_list("double").map(lambda a: F.size(F.filter(a, lambda c: c["v"].isNotNull()))))
     df = frame.join(n.to_frame("n")).result()
     return df.select("key", F.round("v", 3).alias("v"), F.col("v_nm").alias("nm"), "n")
+
+
+from lattica import catalog_api  # noqa: E402, F401 (its queries join these)

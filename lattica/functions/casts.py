@@ -6,6 +6,8 @@ simply NM for every value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,23 @@ _LOSSY = {"float": "float", "double": "double", "number": "double"}
 _EXACT = {"decimal": "decimal(38,18)", "rational": "decimal(38,18)"}
 
 
+#: Casts of one's own, by target: the Spark type that they give, and a function of the cell and its type.
+_OWN: dict[str, tuple[str, Callable[[Cell, T.DataType], Cell]]] = {}
+
+
+def register(target: str, kind: str, f: Callable[[Cell, T.DataType], Cell]) -> None:
+    """Make target a name that cells can be read as: f turns a cell of any type into one of Spark type kind; what does not
+    fit should be NM."""
+    _OWN[target] = (kind, f)
+
+
+def type_of(target: str) -> str:
+    """The Spark type that cells read as target have; text for any."""
+    if target in _OWN:
+        return _OWN[target][0]
+    return {"any": "string"}.get(target) or _WHOLE.get(target) or _LOSSY.get(target) or _EXACT.get(target) or target
+
+
 def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
@@ -32,6 +51,9 @@ def cast(cell: Cell, source: T.DataType, target: str) -> tuple[Cell, str]:
     """
     if target == "any":
         return cell, source.simpleString()
+    if target in _OWN:
+        kind, f = _OWN[target]
+        return f(cell, source), kind
     mixed = isinstance(source, T.StructType) and source.fieldNames() == ["num", "str"]
     if mixed:
         # number or text, as delimited files give: read the number, or else the text

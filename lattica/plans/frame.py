@@ -200,11 +200,20 @@ class Frame:
     def filter_col_keys(self, p: Callable[[object], bool]) -> Frame:
         return self._pruned([c for c in self.columns if p(c.key)])
 
+    def _has_key(self, keys: Sequence) -> Column:
+        """Whether a row's key is one of keys; a number is never a text's key, nor a text a number's."""
+        kind = self.df.schema["__k"].dataType
+        if casts.is_numeric(kind):
+            keys = [k for k in keys if not isinstance(k, (str, bool))]
+        elif isinstance(kind, T.StringType):
+            keys = [k for k in keys if isinstance(k, str)]
+        return F.col("__k").isin(list(keys)) if keys else F.lit(False)
+
     def retain_rows(self, *keys) -> Frame:
-        return self._like(self.df.where(F.col("__k").isin(list(keys))))
+        return self._like(self.df.where(self._has_key(keys)))
 
     def drop_rows(self, *keys) -> Frame:
-        return self._like(self.df.where(~F.col("__k").isin(list(keys))))
+        return self._like(self.df.where(~self._has_key(keys)))
 
     def filter_row_keys(self, p: Callable[[Column], Column]) -> Frame:
         return self._like(self.df.where(p(F.col("__k"))))
@@ -243,9 +252,9 @@ class Frame:
 
     def reindex(self, selector: Selector) -> Frame:
         """New row keys from the data; rows whose key misses go. A rows selector gives new column keys."""
-        turned = self._by_rows(selector, lambda f, s: f.reindex(s))
-        if turned is not None:
-            return turned
+        if selector.axis == "rows":
+            new = self._turned(selector).reindex(selector.to_cols())
+            return self._pruned([replace(self.columns[r["__pos"]], key=r["__k"]) for r in new.df.orderBy(*new.order).select("__pos", "__k").collect()])  # one row a column
         cell = self._cell(selector)
         df = self.df
         order = self.order
@@ -256,6 +265,10 @@ class Frame:
     def col_keys(self) -> list:
         return list(dict.fromkeys(c.key for c in self.columns))
 
+    def row_index(self) -> DataFrame:
+        """(key, pointer): each row's key and its place from 0, as with_row_index takes them."""
+        return positions.dense(self.df, self.order).select(F.col("__k").alias("key"), F.col("__at").alias("pointer"))
+
     def row_keys(self) -> DataFrame:
         """The different row keys."""
         return self.df.select(F.col("__k").alias("key")).distinct()
@@ -292,8 +305,9 @@ class Frame:
         picks += [F.coalesce(F.max(F.when(F.col("__at") == i, F.col("nm"))), F.lit(False)).alias(f"n{i}") for i in range(n) if any_nm]
         spark = self.df.sparkSession
         names = spark.createDataFrame([(j, c.key) for j, c in enumerate(self.columns)], f"__pos bigint, __k {_key_type(self.columns)}")
-        wide = flat.groupBy(F.col("j").alias("__pos")).agg(*picks) if picks else flat.select(F.col("j").alias("__pos")).distinct()
-        return self._like(wide.join(names, "__pos"), [ColumnRef(k, f"c{i}", f"n{i}" if any_nm else None) for i, k in enumerate(keys)], ["__pos"])
+        # without rows, columns remain as rows without cells
+        wide = names.join(flat.groupBy(F.col("j").alias("__pos")).agg(*picks), "__pos", "left") if picks else names
+        return self._like(wide, [ColumnRef(k, f"c{i}", f"n{i}" if any_nm else None) for i, k in enumerate(keys)], ["__pos"])
 
     # access
 
@@ -334,10 +348,15 @@ class Frame:
     def get_column_group(self, key) -> Frame:
         return self.retain_columns(key)
 
+    def _turned(self, selector: Selector) -> Frame:
+        """The transpose of the rows that a selector of rows reads: a few by key, so the frame may be of any length."""
+        keys = selector.keys()
+        return (self if keys is None else self.retain_rows(*keys)).transpose()
+
     def get(self, selector: Selector) -> Series:
         """The selector's cell of each row (or column); a column that is not there is all NA."""
         if selector.axis == "rows":
-            return self.transpose().get(selector.to_cols())
+            return self._turned(selector).get(selector.to_cols())
         return self._series(self._cell(selector))
 
     # computed columns
@@ -356,15 +375,18 @@ class Frame:
         return added._pruned([*kept, added.columns[-1]]).sort_rows()
 
     def filter(self, selector: Selector, p: Callable[[Column], Column]) -> Frame:
-        """Rows whose selected value satisfies p."""
-        turned = self._by_rows(selector, lambda f, s: f.filter(s, p))
-        return self._like(self.df.where(p(self._cell(selector).v))) if turned is None else turned
+        """Rows whose selected value satisfies p; a rows selector filters columns."""
+        if selector.axis == "rows":
+            kept = self._turned(selector).filter(selector.to_cols(), p)
+            places = {r["__pos"] for r in kept.df.select("__pos").collect()}  # one row a column
+            return self._pruned([c for i, c in enumerate(self.columns) if i in places])
+        return self._like(self.df.where(p(self._cell(selector).v)))
 
     def sort_by(self, selector: Selector) -> Frame:
         """Rows by selected cell: NA, NM, then values; ties keep their order."""
-        turned = self._by_rows(selector, lambda f, s: f.sort_by(s))
-        if turned is not None:
-            return turned
+        if selector.axis == "rows":
+            by = self._turned(selector).sort_by(selector.to_cols())
+            return self._pruned([self.columns[r["__pos"]] for r in by.df.orderBy(*by.order).select("__pos").collect()])  # one row a column
         kind, v = self._cell(selector).order_keys()
         n = sum(c.startswith("__by") for c in self.df.columns)
         names = [f"__by{n}", f"__by{n + 1}"]
@@ -372,8 +394,8 @@ class Frame:
 
     def group(self, selector: Selector) -> Frame:
         """Rows under new keys, in key order; rows whose key misses go."""
-        turned = self._by_rows(selector, lambda f, s: f.group(s))
-        return self.reindex(selector).sort_rows() if turned is None else turned
+        new = self.reindex(selector)
+        return new.sort_columns() if selector.axis == "rows" else new.sort_rows()
 
     # reducing
 

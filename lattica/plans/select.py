@@ -34,7 +34,7 @@ class Context:
                 return casts.cast(self.cell(i), self.kind(i), target)
         if self.strict:
             raise KeyError(f"no column {key!r}; there are {list(self.keys)!r}")
-        kind = {"any": "string", "long": "bigint", "number": "double", "bigint38": "decimal(38,0)", "decimal": "decimal(38,18)", "rational": "decimal(38,18)"}.get(target, target)
+        kind = casts.type_of(target)
         return Cell(F.lit(None).cast(kind)), kind
 
 
@@ -116,6 +116,9 @@ class _Both(Selector):
     def build(self, at: Context) -> Cell:
         return self.f(self.a.build(at), self.b.build(at))
 
+    def keys(self) -> list | None:
+        return _all_keys(self.a, self.b)
+
 
 class _Choose(Selector):
     def __init__(self, inner: Selector, cases: dict, default: Selector) -> None:
@@ -130,6 +133,15 @@ class _Choose(Selector):
             v, nm = F.when(by.v == key, c.v).otherwise(v), F.when(by.v == key, c.is_nm).otherwise(nm)
         return Cell(F.when(by.is_value, v), F.when(by.is_value, nm).otherwise(by.is_nm))
 
+    def keys(self) -> list | None:
+        return _all_keys(self.inner, self.default, *self.cases.values())
+
+
+def _all_keys(*selectors: Selector) -> list | None:
+    """The keys of all of them, None if one picks everything."""
+    found = [s.keys() for s in selectors]
+    return None if None in found else list(dict.fromkeys(k for ks in found for k in ks))
+
 
 class Pick(Selector):
     """Columns by key; read them with as_ or one of the list forms."""

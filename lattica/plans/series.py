@@ -119,7 +119,13 @@ class Series:
     def values(self) -> list:
         return [v for _, v in self.dense_iterator()]
 
+    def foreach_partition(self, f: Callable[[Iterator[tuple]], None]) -> None:
+        """f of the (key, cell) pairs of each part, on the executors, in no order: for effects on data of any size."""
+        has_nm = self.has_nm
+        self.df.select("__k", "v", *(["nm"] if has_nm else [])).foreachPartition(lambda rows: f((r["__k"], local_cell(r["v"], has_nm and r["nm"])) for r in rows))
+
     def foreach(self, f: Callable) -> None:
+        """f(key, cell) in order, on the driver, which fetches one part at a time."""
         for k, c in self.iterator():
             f(k, c)
 
@@ -128,15 +134,15 @@ class Series:
             f(k, v)
 
     def foreach_keys(self, f: Callable) -> None:
-        for k in self.keys():
+        for k, _ in self.iterator():
             f(k)
 
     def foreach_cells(self, f: Callable) -> None:
-        for c in self.cells():
+        for _, c in self.iterator():
             f(c)
 
     def foreach_values(self, f: Callable) -> None:
-        for v in self.values():
+        for _, v in self.dense_iterator():
             f(v)
 
     def equals(self, that: Series) -> bool:
@@ -172,6 +178,14 @@ class Series:
     def key_at(self, i: int):
         return self._nth(i)["__k"]
 
+    def index_at(self, i: int) -> tuple:
+        """The i-th key and its position, which orders the rows."""
+        r = self._nth(i)
+        return r["__k"], tuple(r[c] for c in self.order if c != "__k")
+
+    def is_value_at(self, i: int) -> bool:
+        return not isinstance(self.cell_at(i), _Missing)
+
     def cell_at(self, i: int):
         r = self._nth(i)
         return local_cell(r["v"], self.has_nm and r["nm"])
@@ -265,6 +279,13 @@ class Series:
         hit = F.col("__k").isin(list(keys))
         return self._with(Cell(F.when(~hit, F.col("v")), F.col("nm") & ~hit if self.has_nm else None))
 
+    def set_na(self, *places: int) -> Series:
+        """NA at these places (from 0) in order."""
+        at = positions.dense(self.df, self.order)
+        hit = F.col("__at").isin(list(places))
+        order = self.order if all(c in at.columns for c in self.order) else ["__pos"]
+        return Series(at, order)._with(Cell(F.when(~hit, F.col("v")), F.col("nm") & ~hit if self.has_nm else None))
+
     def to_frame(self, key="v"):
         from lattica.plans.frame import ColumnRef, Frame
 
