@@ -81,7 +81,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", partition
     """
     kind = dict(edges.dtypes)[a]
     schema = f"u {kind}, v {kind}"
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
+    # written first: with edges made by Python, a task would hold two workers, which stay
+    pairs = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v"))
     now = cut(pairs.mapInPandas(_contracted(partition_edges), schema))
     seen = _signature(now)
     while True:

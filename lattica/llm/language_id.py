@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lattica.llm.common import batches, narrow
 
 WINDOW, CONTEXT, PAD = 256, 16, 10
-_TOGETHER = 2048
+_TOGETHER = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

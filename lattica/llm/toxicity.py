@@ -63,7 +63,7 @@ class ToxicityModel:
         return {"weights": self.weights, "bias": self.bias, "cache": {}}
 
     def _value(self, word: str) -> float:
-        if len(self.cache) > 300_000:
+        if len(self.cache) > 100_000:
             self.cache.clear()
         w = self.weights
         v = self.cache[word] = sum(w.get(f, 0.0) for f in features(word))
