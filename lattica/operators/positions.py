@@ -1,19 +1,30 @@
 """Positions without a task that sees everything: occurrence numbers, dense positions, carried values.
 
 Spark has no row order, so frames carry position columns. Anything that needs the n-th row, or the last value so far, cuts
-the positions into ranges, sums up one small row a range, and works inside the ranges.
+the positions into ranges of about equal rows, sums up one small row a range, and works inside the ranges. Keys that may be
+hot are cut likewise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Session setting: ranges into which a key's rows are cut when they are numbered. 1 (the default) numbers each key in one
-#: window, which is cheapest while no key holds more rows than a task can sort; set it higher for hot keys.
+#: Session setting: "split" cuts each key's rows into ranges when they are numbered or carried along, "whole" keeps a key in
+#: one window, which costs a shuffle less; "auto" (the default) splits where the plan's statistics expect over LARGE bytes.
 RANGES = "lattica.positional.ranges"
+LARGE = 4 << 30
+#: Rows that a range is to hold, and most ranges: of each one row goes to a single task.
+ROWS, MOST = 100_000, 200_000
+
+
+def splits(df: DataFrame) -> bool:
+    how = df.sparkSession.conf.get(RANGES, "auto")
+    if how != "auto":
+        return how == "split"
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > LARGE
 
 
 def order_struct(order: Sequence[str]) -> Column:
@@ -27,30 +38,59 @@ def single_position(df: DataFrame, order: Sequence[str], name: str = "__pos") ->
     return df.orderBy(*order).withColumn("__new", F.monotonically_increasing_id()).drop(*(c for c in order if c != "__k"), name).withColumnRenamed("__new", name)
 
 
-def ranged(df: DataFrame, pos: str, ranges: int) -> DataFrame:
-    """df with __range, the pos-th part of the span of positions; order over ranges is order of positions."""
-    low, high = df.agg(F.min(pos), F.max(pos)).first()
-    if low is None or high == low or ranges <= 1:
+def _tree(x: Column, cuts: list[float], leaf: Callable[[int], Column], low: int = 0) -> Column:
+    """leaf(i) for the count i of cuts that are at most x, by halving."""
+    if not cuts:
+        return leaf(low)
+    half = len(cuts) // 2
+    right = _tree(x, cuts[half + 1 :], leaf, low + half + 1)
+    return F.when(x >= cuts[half], right).otherwise(_tree(x, cuts[:half], leaf, low))
+
+
+def ranged(df: DataFrame, pos: str, rows: int = ROWS) -> DataFrame:
+    """df with __range, in the order of pos: about rows rows to each.
+
+    Quantiles of pos cut the rows into 64 parts at most, and equal spans cut each part again, so that neither gaps nor
+    outliers of positions leave more than a part's rows in one range.
+    """
+    parts = 64
+    n, low, high, cuts = df.agg(F.count(pos), F.min(pos), F.max(pos), F.percentile_approx(pos, [i / parts for i in range(1, parts)], 10_000)).first()
+    wanted = min(MOST, -(-n // rows))
+    if wanted <= 1 or low == high:
         return df.withColumn("__range", F.lit(0))
-    width = (high - low) / ranges
-    return df.withColumn("__range", F.least(F.floor((F.col(pos) - F.lit(low)) / F.lit(width)), F.lit(ranges - 1)).cast("int"))
+    cuts = sorted({c for c in cuts if low < c <= high})
+    each = max(1, -(-wanted // (len(cuts) + 1)))
+    edges = [low, *cuts, high + 1]
+
+    def leaf(i: int) -> Column:
+        if each == 1:
+            return F.lit(i)
+        inner = F.floor((F.col(pos) - F.lit(edges[i])) * (each / (edges[i + 1] - edges[i])))
+        return F.lit(i * each) + F.least(F.greatest(inner, F.lit(0)), F.lit(each - 1)).cast("int")
+
+    return df.withColumn("__range", _tree(F.col(pos), cuts, leaf))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    out = left["__range"] == right["__r"]
+    for i, k in enumerate(keys):
+        out = out & left[k].eqNullSafe(right[f"__k_{i}"])
+    return out
+
+
+def _earlier(keys: Sequence[str]) -> WindowSpec:
+    """The ranges before, of a key or of all rows: one row a key and range; without keys few enough for one task."""
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "__occ") -> DataFrame:
     """df with the number of each row (from 1) among the rows of its keys, in order."""
-    ranges = int(df.sparkSession.conf.get(RANGES, "1"))
-    if ranges <= 1 and keys:
+    if keys and not splits(df):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    ranges = max(ranges, 200)
-    cut = ranged(single_position(df, order), "__pos", ranges)
+    cut = ranged(single_position(df, order), "__pos")
     counts = cut.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
-    # one row a key and range; without keys so few that one task may sum them
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*(F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    same = cut["__range"] == counts["__r"]
-    for i, k in enumerate(keys):
-        same = same & cut[k].eqNullSafe(counts[f"__k_{i}"])
-    joined = cut.join(counts if keys else F.broadcast(counts), same)
+    counts = counts.select(*(F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before"))
+    joined = cut.join(counts if keys else F.broadcast(counts), _same(cut, counts, keys))
     within = Window.partitionBy(*keys, "__range").orderBy("__pos")
     numbered = joined.withColumn(name, (F.col("__before") + F.row_number().over(within)).cast("int" if keys else "bigint"))
     own = ["__pos"] if keys and "__pos" not in df.columns else []
@@ -73,16 +113,18 @@ def dense_by_partition(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__p", "__start")
 
 
-def carry_forward(df: DataFrame, carried: Column, order: Sequence[str], by: Sequence[str] = (), name: str = "__last", ranges: int = 200) -> DataFrame:
+def carry_forward(df: DataFrame, carried: Column, order: Sequence[str], by: Sequence[str] = (), name: str = "__last") -> DataFrame:
     """df with the last non-null carried at or before each row, over all rows or within the groups of by."""
-    if by:
+    if by and not splits(df):
         over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.last(carried, ignorenulls=True).over(over))
-    cut = ranged(single_position(df.withColumn("__carried", carried), order), "__pos", ranges)
-    last = cut.groupBy("__range").agg(F.max_by("__carried", F.when(F.col("__carried").isNotNull(), F.col("__pos"))).alias("__own"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a range
-    before = last.select(F.col("__range"), F.last("__own", ignorenulls=True).over(earlier).alias("__before"))
-    within = Window.partitionBy("__range").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = cut.join(F.broadcast(before), "__range")
-    return joined.withColumn(name, F.coalesce(F.last("__carried", ignorenulls=True).over(within), F.col("__before"))).drop("__range", "__before", "__carried")
+    kept = df.withColumn("__carried", carried)
+    keyed = [c for c in order if c in by]
+    kept = single_position(kept.withColumns({f"__key_{c}": F.col(c) for c in keyed}), [f"__key_{c}" if c in keyed else c for c in order])
+    cut = ranged(kept, "__pos")
+    last = cut.groupBy(*by, "__range").agg(F.max_by("__carried", F.when(F.col("__carried").isNotNull(), F.col("__pos"))).alias("__own"))
+    before = last.select(*(F.col(k).alias(f"__k_{i}") for i, k in enumerate(by)), F.col("__range").alias("__r"), F.last("__own", ignorenulls=True).over(_earlier(by)).alias("__before"))
+    within = Window.partitionBy(*by, "__range").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = cut.join(before if by else F.broadcast(before), _same(cut, before, by))
+    out = joined.withColumn(name, F.coalesce(F.last("__carried", ignorenulls=True).over(within), F.col("__before")))
+    return out.drop("__range", "__r", "__before", "__carried", *(f"__k_{i}" for i in range(len(by))), *(f"__key_{c}" for c in keyed))

@@ -370,12 +370,12 @@ class Series:
 
     def shift(self, n: int, by: Sequence[str] = ()) -> Series:
         """The cell n rows before; NA where there is none."""
-        if by:
+        if by and not positions.splits(self.df):
             over = Window.partitionBy(*by).orderBy(*self.order)
             return self._with(Cell(F.lag("v", n).over(over), F.coalesce(F.lag("nm", n).over(over), F.lit(False)) if self.has_nm else None))
-        at = positions.dense(self.df, self.order)
-        from_ = at.select((F.col("__at") + n).alias("__at"), F.col("v").alias("__v"), *([F.col("nm").alias("__nm")] if self.has_nm else []))
-        df = at.join(from_, "__at", "left")
+        at = positions.occurrence(self.df, by, self.order, "__at") if by else positions.dense(self.df, self.order)
+        from_ = at.select(*by, (F.col("__at") + n).alias("__at"), F.col("v").alias("__v"), *([F.col("nm").alias("__nm")] if self.has_nm else []))
+        df = at.join(from_, [*by, "__at"], "left")
         order = self.order if all(c in df.columns for c in self.order) else ["__pos"]
         return Series(df, order)._with(Cell(F.col("__v"), F.coalesce("__nm", F.lit(False)) if self.has_nm else None))
 

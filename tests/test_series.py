@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica import NA, NM, Series
@@ -194,14 +197,35 @@ def test_histogram_of_nothing_and_shares(spark):
     assert [r["share"] for r in shares] == [0.25, 0.25]
 
 
-def test_hot_keys_are_numbered_in_ranges(spark):
+@pytest.fixture
+def split(spark, monkeypatch):
+    """Every key in ranges of seven rows."""
+    from lattica.operators import positions
+
+    monkeypatch.setattr(positions, "ROWS", 7)
+    monkeypatch.setattr(positions.ranged, "__defaults__", (7,))
+    spark.conf.set(positions.RANGES, "split")
+    yield positions
+    spark.conf.unset(positions.RANGES)
+
+
+def test_hot_keys_in_ranges(spark, split):
+    """Numbering, carrying and shifting with one key that holds most rows equal those of whole windows."""
+    rng = random.Random(2)
+    cells = [(rng.choice("aaaaaaaab"), rng.choice([NA, NA, NA, NM, i])) for i in range(150)]
+    one, two = Series.of(spark, cells), Series.of(spark, cells[::3])
+    found = [one.or_else(two).to_list(), one.roll_forward(by=["__k"]).to_list(), one.shift(4, by=["__k"]).to_list(), one.sorted().roll_forward(by=["__k"]).to_list(), one.roll_forward().to_list()]
+    spark.conf.set(split.RANGES, "whole")
+    assert found == [one.or_else(two).to_list(), one.roll_forward(by=["__k"]).to_list(), one.shift(4, by=["__k"]).to_list(), one.sorted().roll_forward(by=["__k"]).to_list(), one.roll_forward().to_list()]
+
+
+def test_ranges_hold_about_equal_rows(spark):
+    """Whatever gaps and outliers positions have, and in their order."""
     from lattica.operators import positions
 
-    one = Series.of(spark, [("a", i) for i in range(40)] + [("b", 1)], "string", "int")
-    two = Series.of(spark, [("a", 100 + i) for i in range(30)], "string", "int")
-    plain = one.or_else(two.map_values(lambda v: v)).to_list()
-    spark.conf.set(positions.RANGES, "4")
-    try:
-        assert one.or_else(two).to_list() == plain
-    finally:
-        spark.conf.unset(positions.RANGES)
+    at = F.when(F.col("id") == 0, -(10**15)).when(F.col("id") > 9000, F.col("id") * 10**9).otherwise(F.col("id"))
+    df = positions.ranged(spark.range(10_000).select(at.alias("p")), "p", 100)
+    sizes = [r["n"] for r in df.groupBy("__range").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 10 * 100
+    assert len(sizes) >= 50
+    assert df.withColumn("next", F.lead("__range").over(Window.orderBy("p"))).where("next < __range").isEmpty()
