@@ -49,7 +49,7 @@ class WordEncoder:
 
     _ODD = re.compile("[\x1c-\x1fİΣ]|<\\|")
 
-    def __init__(self, path: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, most_words: int = 200_000) -> None:
         self.full = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
@@ -192,11 +192,19 @@ def fillings(counts: dict[int, int], room: int, most: int, tries: int = 300) ->
     """Undominated fillings of room by the documents in counts, least waste first, most of them at most.
 
     A filling is dominated if some of its documents (or none) could be changed for one larger document, left out so
-    far, within room. tries bounds the fillings looked at.
+    far, within room. Sums that can be made are known beforehand, so the fillings of the least waste are met first,
+    whatever their documents. tries bounds the fillings looked at.
     """
     order = sorted((s for s in counts if s <= room), reverse=True)
-    rising = [-s for s in order]
-    found: list[tuple[int, tuple]] = []
+    # reach[i]: the sums that documents from order[i] on can make, as bits
+    reach = [1] * (len(order) + 1)
+    for i in reversed(range(len(order))):
+        sums, left, step = reach[i + 1], min(counts[order[i]], room // order[i]), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << step * order[i]
+            left, step = left - step, 2 * step
+        reach[i] = sums & ((1 << room + 1) - 1)
 
     def undominated(chosen: tuple, slack: int) -> bool:
         sums = 1
@@ -213,24 +221,34 @@ def fillings(counts: dict[int, int], room: int, most: int, tries: int = 300) ->
                 return False
         return True
 
-    def walk(i: int, slack: int, chosen: tuple) -> bool:
-        found.append((slack, chosen))
-        for j in range(max(i, bisect_left(rising, -slack)), len(order)):
+    def fill(i: int, left: int, chosen: tuple) -> Iterator[tuple]:
+        """Fillings of left by documents from order[i] on, larger ones first; no way leads nowhere."""
+        if not left:
+            yield chosen
+            return
+        for j in range(i, len(order)):
+            if not reach[j] >> left & 1:
+                return
             s = order[j]
-            for n in range(min(counts[s], slack // s), 0, -1):
-                if len(found) >= tries or not walk(j + 1, slack - n * s, (*chosen, (s, n))):
-                    return False
-        return True
-
-    walk(0, room, ())
-    found.sort(key=lambda f: (f[0], sum(n for _, n in f[1])))
-    out = []
-    for slack, chosen in found:
-        if undominated(chosen, slack):
-            out.append(chosen)
-            if len(out) == most:
+            for n in range(min(counts[s], left // s), 0, -1):
+                if reach[j + 1] >> left - n * s & 1:
+                    yield from fill(j + 1, left - n * s, (*chosen, (s, n)))
+
+    out: list[tuple] = []
+    looked, total = 0, reach[0].bit_length() - 1
+    least = total
+    while looked < tries and len(out) < most:
+        for chosen in fill(0, total, ()):
+            looked += 1
+            if undominated(chosen, room - total):
+                out.append(chosen)
+            if looked == tries or len(out) == most:
                 break
-    return out or [found[0][1]]
+        smaller = reach[0] & ((1 << total) - 1)
+        if not smaller:
+            break
+        total = smaller.bit_length() - 1
+    return out or [next(fill(0, least, ()))]
 
 
 def pack_counts(sizes: dict[int, int], capacity: int, nodes: int = 2500, width: int = 4) -> list[Pattern]:

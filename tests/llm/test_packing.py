@@ -94,3 +94,42 @@ def test_packing_documents(documents, capacity):
 
 def test_nothing(nothing):
     assert P.pack_documents(nothing).collect() == []
+
+
+def test_lengths_of_documents_where_best_fit_is_not_optimal():
+    """Word counts of the test documents, cut at 300: the search beats its incumbent and stays above the bound."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    sizes = Counter()
+    for text in pq.read_table(path, columns=["text"]).column("text").to_pylist():
+        n = len((text or "").split()) + 1
+        sizes.update([300] * (n // 300) + [n % 300] * (n % 300 > 0))
+    found = P.pack_counts(sizes, 300)
+    used = Counter()
+    for bins, filling in found:
+        assert sum(s * n for s, n in filling) <= 300
+        used.update({s: n * bins for s, n in merged(filling).items()})
+    assert used == sizes
+    incumbent = sum(n for n, _ in P.best_fit_decreasing(sizes, 300))
+    assert P.lower_bound(sizes, 300) <= sum(n for n, _ in found) < incumbent
+
+
+def merged(filling):
+    out = Counter()
+    for s, n in filling:
+        out[s] += n
+    return out
+
+
+def test_fillings_come_by_waste():
+    got = P.fillings({7: 1, 5: 2, 4: 1, 3: 3, 2: 1}, 12, 6)
+    waste = [12 - sum(s * n for s, n in f) for f in got]
+    assert waste == sorted(waste)
+    assert waste[:3] == [0] * 3
+    assert got[0] == ((7, 1), (5, 1))
+    assert P.fillings({9: 1}, 5, 4) == [()]
