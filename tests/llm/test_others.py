@@ -64,6 +64,25 @@ def test_sharding(documents, nothing):
     assert sharding.shard_documents(nothing, 7).collect() == []
 
 
+@pytest.mark.parametrize(("shards", "bucket"), [(7, 20_000), (40, 10), (200, 3)])
+def test_sharding_against_a_plain_version(documents, shards, bucket):
+    """Ranks within sources, one sort by fractional rank, one cut."""
+    keyed = documents.select("doc_id", "source", F.xxhash64(F.lit(0), "doc_id").alias("h"), F.xxhash64(F.lit(0), "source").alias("s")).collect()
+    by = {}
+    for r in keyed:
+        by.setdefault(r["source"], []).append((r["h"] & (1 << 62) - 1, r["doc_id"], r["s"]))
+    dealt = sorted(((2 * i + 1) / (2 * len(own)), s, h, d) for own in by.values() for i, (h, d, s) in enumerate(sorted(own)))
+    n = len(dealt)
+    expected = sorted((d, i * shards // n, i - -(-(i * shards // n) * n // shards)) for i, (*_, d) in enumerate(dealt))
+    got = sharding.interleave(documents.select("doc_id", "source"), "doc_id", "source", shards, bucket_rows=bucket)
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got.collect()) == expected
+
+
+def test_sharding_replaces_clashing_columns(documents):
+    clash = documents.select("doc_id", "source", F.lit("x").alias("shard"), F.lit("y").alias("_hash"), F.lit("z").alias("slot"))
+    assert sharding.interleave(clash, "doc_id", "source", 3).columns == ["doc_id", "source", "shard", "slot"]
+
+
 def test_sharding_in_many_buckets(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("source"))
     out = sharding.interleave(rows, "doc_id", "source", 40, bucket_rows=50).collect()
