@@ -212,9 +212,11 @@ def training_sample(docs: DataFrame, learnable: Column, per_language: int = 150,
     good = learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars)
     known = docs.where(good).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     # a bound on the hash for each language leaves about four times the texts wanted, so no task sees a language whole
-    share = known.groupBy("lang").agg(F.count("*").alias("n"))
-    span = F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
-    thin = known.join(share, "lang").where(F.col("h").cast("double") + float(1 << 63) <= span)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    if not counts:
+        return [], []
+    spans = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], float(1 << 64) * min(1.0, 4.0 * per_language / r["n"]))))
+    thin = known.where(F.col("h").cast("double") + float(1 << 63) <= spans[F.col("lang")])
     chosen = {}
     for lang, doc, h in thin.select("lang", "doc_id", "h").distinct().collect():  # about 4 * per_language rows a language
         chosen.setdefault(lang, []).append((h, doc))
