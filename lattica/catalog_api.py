@@ -432,6 +432,14 @@ def python_reducer(spark, sf_dir):
     return _out(_plain(spark, sf_dir, "user_id").reduce_by_key(R.PythonReducer(lambda xs: float(max(xs) - min(xs)), "double")))
 
 
+@_query("SELECT user_id AS key, CAST(list_reduce(list(CAST(event_id % 3 + 1 AS HUGEINT) * CASE event_type WHEN 'error' THEN -1 ELSE 1 END), lambda a, b: a * b) AS VARCHAR) AS v FROM events GROUP BY 1")
+def whole_product_by_key(spark, sf_dir):
+    """Products beyond the digits of a double."""
+    factor = (F.col("event_id") % 3 + 1) * F.when(F.col("event_type") == "error", -1).otherwise(1)
+    s = Series.from_df(_table(spark, sf_dir, "events"), "user_id", factor, "event_id").reduce_by_key(R.WholeProduct())
+    return _out(s.map_values(lambda v: v.cast("string")), None)
+
+
 # cells and casts
 
 

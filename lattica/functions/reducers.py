@@ -64,6 +64,22 @@ def ProductNonEmpty() -> Reducer:
     return Fold(F.product)
 
 
+def WholeProduct() -> Reducer:
+    """The exact product of whole numbers, as decimal(38,0): 1 for no values, NA if it has over 38 digits.
+
+    Ones, minus ones and zeros are only counted; other values are gathered, of which 127 always overflow.
+    """
+    kind = "decimal(38,0)"
+
+    def f(v: Column) -> Column:
+        rest = F.collect_list(F.when(F.abs(v) > 1, v.cast(kind)))
+        product = F.aggregate(rest, F.lit(1).cast(kind), lambda a, x: F.try_multiply(a, x).cast(kind))
+        signed = F.when(F.count_if(v == -1) % 2 == 1, -product).otherwise(product)
+        return F.when(F.count_if(v == 0) > 0, F.lit(0).cast(kind)).otherwise(signed).cast(kind)
+
+    return Fold(f)
+
+
 def Mean() -> Reducer:
     return Fold(lambda v: F.avg(v.cast("double")))
 

@@ -229,3 +229,18 @@ def test_ranges_hold_about_equal_rows(spark):
     assert max(sizes) <= 10 * 100
     assert len(sizes) >= 50
     assert df.withColumn("next", F.lead("__range").over(Window.orderBy("p"))).where("next < __range").isEmpty()
+
+
+def test_whole_products_are_exact(spark):
+    from decimal import Decimal
+
+    def product(*cells):
+        return Series.of(spark, [(i, c) for i, c in enumerate(cells)], "int", "bigint").reduce(R.WholeProduct())
+
+    assert product(*range(1, 31)) == Decimal(265252859812191058636308480000000)
+    assert product(-3, 1, -1, NA, 7) == 21
+    assert product(-1, -1, -1) == -1
+    assert product(5, 0, -2) == 0
+    assert product() == product(NA) == 1
+    assert product(2, NM) is NM
+    assert product(*[10] * 39) is NA
