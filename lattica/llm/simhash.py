@@ -241,7 +241,9 @@ def near_links(prints: DataFrame, bits: int, partitions: int | None = None, buck
         big = full.where("p").select("mask", "value")
         fixed = [r["mask"] for r in big.select("mask").distinct().collect()]  # a few masks, not buckets
         small = keyed if full.isEmpty() else keyed.join(full.select("mask", "value"), ["mask", "value"], "left_anti")
-        dealt = small.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
+        # by a hash of the bucket, not by its columns: by those of the join before it, this exchange would be planned away, and the
+        # join's own, once it turns into a broadcast, be read where it was written, with a bucket's rows in several tasks
+        dealt = small.repartition(F.xxhash64("mask", "value")).sortWithinPartitions("mask", "value", "fp")
         links = dealt.mapInPandas(_links(bits), "a long, b long")
         found = links if found is None else found.unionAll(links)
         if not fixed:

@@ -73,6 +73,30 @@ def test_links_lose_nothing(spark, bits, bucket_rows, seed):
     assert classes(signed, [(r["a"], r["b"]) for r in got]) == classes(signed, pairs)
 
 
+def test_links_of_buckets_beside_full_ones(spark):
+    """Rows lie in many partitions and full buckets are taken out by a join: the others' rows must still meet in one task."""
+    rng = np.random.default_rng(3)
+    centre, size = rng.integers(0, 1 << 63, 1, np.uint64)[0], 3000
+    crowd = np.full(size, centre)
+    for _ in range(3):
+        crowd ^= np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64)
+    lone = rng.integers(0, 1 << 63, 2000, np.uint64)
+    fps = np.unique(np.concatenate([crowd, lone, lone ^ (np.uint64(1) << rng.integers(0, 63, len(lone)).astype(np.uint64))]))
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= 2, 1))
+    signed = fps.view(np.int64).tolist()
+    prints = spark.createDataFrame([(f,) for f in signed], "fp bigint").repartition(16, "fp")
+    many = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in many}
+    try:
+        for c, v in many.items():
+            spark.conf.set(c, v)
+        got = S.near_links(prints, 2, bucket_rows=64).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert classes(signed, [(r["a"], r["b"]) for r in got]) == classes(signed, [(signed[x], signed[y]) for x, y in zip(a, b, strict=True)])
+
+
 def test_thresholds_keep_the_pigeonhole_sum_and_cost_least():
     rng = np.random.default_rng(0)
     cost = np.cumsum(rng.random((50, 4, 4)), axis=2)
