@@ -315,19 +315,21 @@ def _mixed(x: np.ndarray, shards: int) -> np.ndarray:
 _MET_BITS = 48
 
 
-def _set_blocks(rows: DataFrame, k: int, similarity: float, low: int, block_bytes: int) -> DataFrame:
+def _set_blocks(rows: DataFrame, k: int, print_k: int, similarity: float, low: int, block_bytes: int) -> DataFrame:
     """(block, lows, data): blocks of rows. data holds their keys and, of each different shingle set in the block, the digest,
-    size, parity and least hashes: all under low, or as many as a prefix holds; lows counts those that are not under low."""
+    fingerprint (over print_k words; a text's of that set), size, parity and least hashes: all under low, or as many as a prefix
+    holds; lows counts those that are not under low."""
 
     def close(part: int, nth: int, keys: list, which: list, found: dict) -> tuple:
-        sets = [s for s, _ in found.values()]
+        sets = [s for s, _, _ in found.values()]
+        fps = np.array([fp for _, _, fp in found.values()], np.uint64)
         size = np.array([len(s) for s in sets], np.int32)
         met = [(s >> np.uint64(64 - _MET_BITS)).astype(np.int64) for s in sets]
         under = [int(np.searchsorted(m, low)) for m in met]
         taken = [max(u, min(len(m), _missing(len(m), similarity) + 1)) for u, m in zip(under, met, strict=True)]
         flat = np.concatenate([m[:t] for m, t in zip(met, taken, strict=True)] or [np.zeros(0, np.int64)])
         parity = np.frombuffer(b"".join(_parity(s) for s in sets), np.uint8)
-        data = blob(np.array(keys, np.int64), np.array(which, np.int32), np.array(list(found), np.uint64), size, np.array(taken, np.int32), np.diff(flat, prepend=0), parity)
+        data = blob(np.array(keys, np.int64), np.array(which, np.int32), np.array(list(found), np.uint64), fps, size, np.array(taken, np.int32), np.diff(flat, prepend=0), parity)
         return (part << 24) + nth, sum(taken) - sum(under), data
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +340,9 @@ def _set_blocks(rows: DataFrame, k: int, similarity: float, low: int, block_byte
                 grams = _gram_set(raw, k)
                 digest = _digest(grams)
                 keys.append(key)
-                which.append(found.setdefault(digest, (grams, len(found)))[1])
+                if digest not in found:
+                    found[digest] = grams, len(found), fingerprint(shingles(raw, print_k))
+                which.append(found[digest][1])
                 size += len(raw or b"")
                 if size >= block_bytes:
                     yield arrow_rows(schema, [[x] for x in close(part, nth, keys, which, found)])
@@ -353,7 +357,7 @@ class _Sets:
     """A block of _set_blocks, read back."""
 
     def __init__(self, data: bytes, low: int) -> None:
-        self.keys, self.which, self.digest, self.size, taken, gaps, self.parity = unblob(data)
+        self.keys, self.which, self.digest, self.fp, self.size, taken, gaps, self.parity = unblob(data)
         self.of = np.repeat(np.arange(len(taken)), taken)
         self.gram = np.cumsum(gaps)
         self.under = self.gram < low
@@ -500,20 +504,31 @@ def _true_links(node: np.ndarray, sets: list[np.ndarray], half: np.ndarray, simi
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", crowd: int = 16, share: float = 0.35, block_bytes: int = 8 << 20, shard_entries: int = 1_000_000, chunk_bytes: int = 8 << 20) -> DataFrame:
+def _kin(nodes: DataFrame, bits: int) -> DataFrame:
+    """(digest, kin): kin is the same for the sets whose fingerprints fp are linked at bits or fewer differing bits."""
+    linked = connected_components(near_links(nodes.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    return nodes.select("digest", "fp").join(linked, "fp", "left").select("digest", F.coalesce("component", "fp").alias("kin"))
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", print_k: int = 3, bits: int = 3, crowd: int = 16, share: float = 0.35, block_bytes: int = 8 << 20, shard_entries: int = 1_000_000, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(key, component_id): documents linked if their sets of k-word shingles have a Jaccard similarity of at least similarity.
 
-    No link is lost. Shingles are ordered, rare ones first; of two sets this alike, the first shingle that they share lies
-    among the first of each (prefix filter). How many texts hold a shingle is counted for the lowest share of all hashes,
-    from which prefixes are taken; those that one text holds link nothing and are not sent on. Pairs of texts that meet in a
-    shingle pass two bounds, on sizes and on parities of cells, which no true pair fails; of a crowded shingle's texts only
-    chains are taken, none of which is dropped. What these candidates connect is compared whole, set by set: in one task,
-    or where the sets exceed chunk_bytes in chunks of which every two meet. Equal sets are one node, known by a 64-bit hash.
-    Wordless and null texts are equal to each other; rows without a key are left out.
+    Candidates are the texts whose fingerprints over print_k words are linked at bits or fewer differing bits (near_links:
+    generalised pigeonhole, allocated thresholds). Alike texts may have fingerprints further apart: pairs that no
+    fingerprints link are candidates by their shingles. All that candidates connect is checked exactly.
+
+    No link is lost. For the pairs beyond the fingerprints, shingles are ordered, rare ones first; of two sets this alike,
+    the first shingle that they share lies among the first of each (prefix filter). How many texts hold a shingle is counted
+    for the lowest share of all hashes, from which prefixes are taken; those that one text holds link nothing and are not
+    sent on. Pairs of texts that meet in a shingle pass two bounds, on sizes and on parities of cells, which no true pair
+    fails; of a crowded shingle's texts only chains are taken, none of which is dropped. What these candidates connect is
+    compared whole, set by set: in one task, or where the sets exceed chunk_bytes in chunks of which every two meet. Equal
+    sets are one node, known by a 64-bit hash. Wordless and null texts are equal to each other; rows without a key are left
+    out.
     """
     rows = docs.where(F.col(key).isNotNull()).select(key, text)
     low = int(share * (1 << _MET_BITS))
-    blocks = cut(_set_blocks(rows, k, similarity, low, block_bytes))
+    blocks = cut(_set_blocks(rows, k, print_k, similarity, low, block_bytes))
 
     def prints_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -527,12 +542,15 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str =
                 b = _Sets(data, low)
                 least = np.full(len(b.digest), np.iinfo(np.int64).max)
                 np.minimum.at(least, b.which, b.keys)
-                yield pd.DataFrame({"digest": b.digest.view(np.int64), "least": least, "n": b.size, "parity": b.parities()})
+                yield pd.DataFrame({"digest": b.digest.view(np.int64), "fp": b.fp.view(np.int64), "least": least, "n": b.size, "parity": b.parities()})
 
     prints = blocks.select("data").mapInPandas(prints_of, "key long, digest long")
-    nodes = blocks.select("data").mapInPandas(nodes_of, "digest long, least long, n int, parity binary")
-    # one size and parity to a digest, up to equal hashes
-    nodes = nodes.groupBy("digest").agg(F.min("least").alias("least"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    nodes = blocks.select("data").mapInPandas(nodes_of, "digest long, fp long, least long, n int, parity binary")
+    # one size and parity to a digest, up to equal hashes; of the fingerprints, which repeats may tell apart, any one will do
+    nodes = cut(nodes.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("least").alias("least"), F.max("n").alias("n"), F.max("parity").alias("parity")))
+    kin = cut(_kin(nodes, bits))
+    several = kin.groupBy("kin").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1")
+    akin = kin.join(several, "kin").select("a", F.col("digest").alias("b"))
     held, rest = blocks.agg(F.sum(F.octet_length("data")), F.sum("rest")).first()
     shards = 1 + int(held or 0) // (5 * shard_entries)  # five bytes a hash or so
     kinds = cut(_frequencies(blocks, low, shards, crowd))
@@ -547,9 +565,12 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, key: str =
             fits = [_may_match(x, y, n, m, similarity) for x, y, n, m in zip(pdf["x"], pdf["y"], pdf["n"], pdf["m"], strict=True)]
             yield pdf.loc[fits, ["a", "b"]]
 
-    ends = [nodes.select(F.col("digest").alias(c), F.col("n").alias(n), F.col("parity").alias(p)) for c, n, p in (("a", "n", "x"), ("b", "m", "y"))]
-    likely = met.where("not chain").join(ends[0], "a").join(ends[1], "b").mapInPandas(bounded, "a long, b long")
-    groups = connected_components(met.where("chain").select("a", "b").unionAll(likely))
+    about = nodes.join(kin, "digest")
+    ends = [about.select(F.col("digest").alias(c), F.col("n").alias(n), F.col("parity").alias(p), F.col("kin").alias(f"kin_{c}")) for c, n, p in (("a", "n", "x"), ("b", "m", "y"))]
+    # what fingerprints link is compared anyway
+    beyond = met.where("not chain").join(ends[0], "a").join(ends[1], "b").where("kin_a <> kin_b")
+    likely = beyond.select("a", "b", "n", "m", "x", "y").mapInPandas(bounded, "a long, b long")
+    groups = connected_components(akin.unionAll(met.where("chain").select("a", "b")).unionAll(likely))
     sized = cut(nodes.select("digest", "n", "least").join(groups.withColumnRenamed("node", "digest"), "digest"))
     chunks = sized.groupBy("component").agg(F.ceil(F.sum("n") * 8 / chunk_bytes).alias("c"))
     sized = sized.join(chunks, "component")

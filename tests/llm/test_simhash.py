@@ -206,3 +206,38 @@ def test_crowded_texts_of_mixed_similarity(spark, limits):
     got, true = found_classes(spark, texts, **limits)
     assert got == true
     assert 2 < len(set(true.values())) < 60
+
+
+def test_near_copies_come_through_fingerprints(spark, documents, monkeypatch):
+    """The links of all fingerprints are asked for, and what they link is compared whole without candidates from shingles."""
+    rows = [(r["doc_id"], r["text"]) for r in documents.dropDuplicates(["doc_id"]).collect()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked, near_links = [], S.near_links
+
+    def spied(prints, bits):
+        asked.append((sorted(r["fp"] for r in prints.collect()), bits))
+        return near_links(prints, bits)
+
+    monkeypatch.setattr(S, "near_links", spied)
+    true = brute_classes(rows)
+    assert {r["doc_id"]: r["component_id"] for r in S.near_copies(docs).collect()} == true
+    ((fps, bits),) = asked
+    assert bits == 3
+    first = {frozenset(plain_fingerprint(t, 5)[1]): plain_fingerprint(t, 3)[0] for _, t in rows}
+    assert set(fps) == {f - (1 << 64) if f >> 63 else f for f in first.values()}
+
+    # all fingerprints in one group: no candidate from shingles is left but chains, and every pair is still checked
+    monkeypatch.setattr(S, "near_links", lambda prints, bits: prints.select(F.lit(min(fps)).alias("a"), F.col("fp").alias("b")))
+    assert {r["doc_id"]: r["component_id"] for r in S.near_copies(docs, crowd=10_000).collect()} == true
+
+
+def test_kin_against_brute_force(spark):
+    rng, fps = random.Random(4), []
+    for _ in range(30):
+        centre = rng.getrandbits(64)
+        fps += [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(6)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {r["digest"]: r["kin"] for r in S._kin(spark.createDataFrame(list(enumerate(signed)), "digest bigint, fp bigint"), 3).collect()}
+    true = classes(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    assert len(got) == len(fps)
+    assert len(set(got.values())) == len(set(true.values())) == len({(got[i], true[i]) for i in true})
