@@ -18,6 +18,8 @@ RANGES = "lattica.positional.ranges"
 LARGE = 4 << 30
 #: Rows that a range is to hold, and most ranges: of each one row goes to a single task.
 ROWS, MOST = 100_000, 200_000
+#: Of several order columns: most ranges, and rows a range that are looked at for its bounds.
+MOST_BOUNDS, SEEN = 1024, 50
 
 
 def splits(df: DataFrame) -> bool:
@@ -32,10 +34,16 @@ def order_struct(order: Sequence[str]) -> Column:
 
 
 def single_position(df: DataFrame, order: Sequence[str], name: str = "__pos") -> DataFrame:
-    """df with one ascending bigint position in place of several order columns."""
+    """df with one ascending bigint position in place of several order columns.
+
+    Positions depend on the rows alone, not on how a sort happens to cut its partitions: a plan may be run several times.
+    """
     if list(order) == [name] and dict(df.dtypes)[name] in ("bigint", "int"):
         return df
-    return df.orderBy(*order).withColumn("__new", F.monotonically_increasing_id()).drop(*(c for c in order if c != "__k"), name).withColumnRenamed("__new", name)
+    cut = ranged(df, order)
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    numbered = cut.withColumn("__new", F.shiftleft(F.col("__range").cast("bigint"), 33) + within)
+    return numbered.drop(*(c for c in order if c != "__k"), name, "__range").withColumnRenamed("__new", name)
 
 
 def _tree(x: Column, cuts: list[float], leaf: Callable[[int], Column], low: int = 0) -> Column:
@@ -47,8 +55,29 @@ def _tree(x: Column, cuts: list[float], leaf: Callable[[int], Column], low: int
     return F.when(x >= cuts[half], right).otherwise(_tree(x, cuts[:half], leaf, low))
 
 
-def ranged(df: DataFrame, pos: str, rows: int = ROWS) -> DataFrame:
-    """df with __range, in the order of pos: about rows rows to each.
+def ranged(df: DataFrame, order: str | Sequence[str], rows: int = ROWS) -> DataFrame:
+    """df with __range, in the order of the columns: about rows rows to each, by bounds that are fixed in the plan."""
+    order = [order] if isinstance(order, str) else list(order)
+    if len(order) == 1 and dict(df.dtypes)[order[0]] in ("bigint", "int"):
+        return _ranged_by_number(df, order[0], rows)
+    n = df.count()
+    wanted = min(MOST_BOUNDS, -(-n // rows))
+    if wanted <= 1:
+        return df.withColumn("__range", F.lit(0))
+    # some rows show where to cut; all are put into ranges
+    seen = df.select(*order).sample(min(1.0, wanted * SEEN / n), seed=1).orderBy(*order).collect()
+    cuts = list(dict.fromkeys(seen[len(seen) * i // wanted] for i in range(1, wanted))) if seen else []
+    if not cuts:
+        return df.withColumn("__range", F.lit(0))
+    kinds = {f.name: f.dataType for f in df.schema}
+    bounds = F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut, strict=True))) for cut in cuts))
+    # the count of bounds that are at most the row's, by halving
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return df.withColumn("__range", F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= order_struct(order), at + step).otherwise(at)))
+
+
+def _ranged_by_number(df: DataFrame, pos: str, rows: int) -> DataFrame:
+    """Ranges of one whole-numbered position.
 
     Quantiles of pos cut the rows into 64 parts at most, and equal spans cut each part again, so that neither gaps nor
     outliers of positions leave more than a part's rows in one range.
@@ -87,14 +116,13 @@ def occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     """df with the number of each row (from 1) among the rows of its keys, in order."""
     if keys and not splits(df):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    cut = ranged(single_position(df, order), "__pos")
+    cut = ranged(df, order)
     counts = cut.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
     counts = counts.select(*(F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before"))
     joined = cut.join(counts if keys else F.broadcast(counts), _same(cut, counts, keys))
-    within = Window.partitionBy(*keys, "__range").orderBy("__pos")
+    within = Window.partitionBy(*keys, "__range").orderBy(*order)
     numbered = joined.withColumn(name, (F.col("__before") + F.row_number().over(within)).cast("int" if keys else "bigint"))
-    own = ["__pos"] if keys and "__pos" not in df.columns else []
-    return numbered.drop("__range", "__r", "__before", *(f"__k_{i}" for i in range(len(keys))), *own)
+    return numbered.drop("__range", "__r", "__before", *(f"__k_{i}" for i in range(len(keys))))
 
 
 def dense(df: DataFrame, order: Sequence[str], name: str = "__at") -> DataFrame:
@@ -119,12 +147,10 @@ def carry_forward(df: DataFrame, carried: Column, order: Sequence[str], by: Sequ
         over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.last(carried, ignorenulls=True).over(over))
     kept = df.withColumn("__carried", carried)
-    keyed = [c for c in order if c in by]
-    kept = single_position(kept.withColumns({f"__key_{c}": F.col(c) for c in keyed}), [f"__key_{c}" if c in keyed else c for c in order])
-    cut = ranged(kept, "__pos")
-    last = cut.groupBy(*by, "__range").agg(F.max_by("__carried", F.when(F.col("__carried").isNotNull(), F.col("__pos"))).alias("__own"))
+    cut = ranged(kept, order)
+    last = cut.groupBy(*by, "__range").agg(F.max_by("__carried", F.when(F.col("__carried").isNotNull(), order_struct(order))).alias("__own"))
     before = last.select(*(F.col(k).alias(f"__k_{i}") for i, k in enumerate(by)), F.col("__range").alias("__r"), F.last("__own", ignorenulls=True).over(_earlier(by)).alias("__before"))
-    within = Window.partitionBy(*by, "__range").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = cut.join(before if by else F.broadcast(before), _same(cut, before, by))
     out = joined.withColumn(name, F.coalesce(F.last("__carried", ignorenulls=True).over(within), F.col("__before")))
-    return out.drop("__range", "__r", "__before", "__carried", *(f"__k_{i}" for i in range(len(by))), *(f"__key_{c}" for c in keyed))
+    return out.drop("__range", "__r", "__before", "__carried", *(f"__k_{i}" for i in range(len(by))))

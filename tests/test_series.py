@@ -244,3 +244,17 @@ def test_whole_products_are_exact(spark):
     assert product() == product(NA) == 1
     assert product(2, NM) is NM
     assert product(*[10] * 39) is NA
+
+
+def test_places_do_not_depend_on_how_a_sort_is_cut(spark, monkeypatch):
+    """Places by several columns, some missing, when the plan is run once for counts and again for rows."""
+    from lattica.operators import positions
+
+    monkeypatch.setattr(positions.ranged, "__defaults__", (2000,))
+    n = 40_000
+    at = F.pmod(F.col("id") * 7919, F.lit(n))
+    df = spark.range(0, n, 1, 5).select(at.alias("v"), F.when(at >= 9000, F.floor(at / 1000).cast("string")).alias("text"), F.col("id").alias("__k"))
+    want = {r["v"]: i for i, r in enumerate(sorted(df.collect(), key=lambda r: (r["text"] is not None, r["text"] or "", r["v"])))}
+    assert {r["v"]: r["__at"] for r in positions.dense(df, ["text", "v"]).collect()} == want
+    alone = positions.single_position(df.withColumn("w", F.col("v")), ["text", "v"])
+    assert [r["w"] for r in alone.orderBy("__pos").select("w").collect()] == sorted(want, key=want.get)
