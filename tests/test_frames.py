@@ -237,3 +237,19 @@ def test_plans_stay_in_the_jvm_and_push_down(spark, tmp_path):
     assert "unused" not in plan.split("ReadSchema")[1]
     assert "SinglePartition" not in plan
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_joins_that_make_many_rows_are_dealt_out(spark, how, monkeypatch):
+    """Few rows of few keys, on either side, with keys that one side lacks."""
+    from lattica.operators import matching
+
+    def sides():
+        a = Frame.from_df(spark.range(90).select((F.col("id") % 4).alias("k"), F.col("id").alias("x")), "k", ["x"], "x")
+        return a, Frame.from_df(spark.range(50).select((F.col("id") % 4 + 1).alias("k"), F.col("id").alias("y")), "k", ["y"], "y")
+
+    plain = sides()[0].join(sides()[1], how).result()
+    monkeypatch.setattr(matching, "MANY", 20)
+    dealt = sides()[0].join(sides()[1], how).result()
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect()))
+    assert (dealt.rdd.getNumPartitions() > 30) == (how != "outer")
