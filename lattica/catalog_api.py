@@ -210,28 +210,50 @@ def series_as_text(spark, sf_dir):
 
 @_query(_EV + "SELECT event_id AS key, row_number() OVER (ORDER BY event_id) - 1 AS place, round(v, 3) AS v, nm FROM ev")
 def series_iterator(spark, sf_dir):
-    """Every cell, in order, through the driver's iterator."""
-    got = [(k, i, None if isinstance(c, _Missing) else float(c), c is NM) for i, (k, c) in enumerate(_events(spark, sf_dir, "event_id").iterator())]
-    return spark.createDataFrame(got, "key bigint, place bigint, v double, nm boolean").withColumn("v", F.round("v", 3))
+    """Every cell, in order, through an iterator of each part, on the executors."""
+
+    def cells(found):
+        for i, k, c in found:
+            yield k, i, None if isinstance(c, _Missing) else float(c), c is NM
+
+    return _events(spark, sf_dir, "event_id").map_places(cells, "key bigint, place bigint, v double, nm boolean").withColumn("v", F.round("v", 3))
 
 
 @_query(_EV + "SELECT count(*) AS keys, count(*) AS cells, count(v) AS n_values, round(sum(v), 2) AS total, sum(CASE WHEN v IS NOT NULL THEN event_id END) AS dense_keys FROM ev")
 def series_keys_cells_values(spark, sf_dir):
-    s = _events(spark, sf_dir, "event_id")
-    found = s.values()
-    return spark.createDataFrame([(len(s.keys()), len(s.cells()), len(found), round(sum(found), 2), sum(k for k, _ in s.dense_iterator()))], "keys bigint, cells bigint, n_values bigint, total double, dense_keys bigint")
+    def seen(pairs):
+        n = n_values = total = dense_keys = 0
+        for k, c in pairs:
+            n += 1
+            if not isinstance(c, _Missing):
+                n_values, total, dense_keys = n_values + 1, total + c, dense_keys + k
+        yield n, n_values, float(total), dense_keys
+
+    parts = _events(spark, sf_dir, "event_id").map_parts(seen, "n bigint, n_values bigint, total double, dense_keys bigint")
+    n, values = (F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_values"))
+    some = lambda c: F.when(F.sum("n_values") > 0, F.sum(c))
+    return parts.agg(n.alias("keys"), n.alias("cells"), values.alias("n_values"), F.round(some("total"), 2).alias("total"), some("dense_keys").alias("dense_keys"))
 
 
 @_query(_EV + "SELECT count(*) AS pairs, count(v) AS dense, sum(event_id) AS keys, count(*) AS cells, round(sum(v), 2) AS total FROM ev")
 def series_foreach(spark, sf_dir):
-    s = _events(spark, sf_dir, "event_id")
-    seen: dict[str, list] = {n: [] for n in ("pairs", "dense", "keys", "cells", "values")}
-    s.foreach(lambda k, c: seen["pairs"].append(k))
-    s.foreach_dense(lambda k, v: seen["dense"].append(v))
-    s.foreach_keys(seen["keys"].append)
-    s.foreach_cells(seen["cells"].append)
-    s.foreach_values(seen["values"].append)
-    return spark.createDataFrame([(len(seen["pairs"]), len(seen["dense"]), sum(seen["keys"]), len(seen["cells"]), round(sum(seen["values"]), 2))], "pairs bigint, dense bigint, keys bigint, cells bigint, total double")
+    """Effects of each pair, dense pair, key, cell and value, on the executors; what each part has seen is added up."""
+
+    def seen(pairs):
+        got = dict.fromkeys(("pairs", "dense", "keys", "cells"), 0)
+        total = 0.0
+        for k, c in pairs:
+            got["pairs"] += 1
+            got["keys"] += k
+            got["cells"] += 1
+            if not isinstance(c, _Missing):
+                got["dense"] += 1
+                total += c
+        yield *got.values(), total
+
+    parts = _events(spark, sf_dir, "event_id").map_parts(seen, "pairs bigint, dense bigint, keys bigint, cells bigint, total double")
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "dense", "cells")]
+    return parts.agg(*counts, F.when(F.sum("pairs") > 0, F.sum("keys")).alias("keys"), F.round(F.when(F.sum("dense") > 0, F.sum("total")), 2).alias("total"))
 
 
 @_query("SELECT true AS same_frame, false AS other_order, false AS other_cells, true AS same_series, false AS other_series")

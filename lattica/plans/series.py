@@ -6,11 +6,14 @@ flag nm. Sorting happens when rows are collected; operators that define a new or
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lattica.functions import reducers as R
 from lattica.functions.cells import Cell, _flag
@@ -36,6 +39,23 @@ def local_cell(v, nm) -> object:
     return v if v is not None else NM if nm else NA
 
 
+def _by_parts(df: DataFrame, names: Sequence[str], has_nm: bool, f: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """f of the tuples of names and the cell, a part at a time; types are those that Arrow gives."""
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tuples() -> Iterator[tuple]:
+            for b in batches:
+                *rest, v, nm = (c.to_pylist() for c in b.columns)
+                yield from zip(*rest, map(local_cell, v, nm), strict=True)
+
+        made = iter(f(tuples()))
+        while some := list(islice(made, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+    return df.select(*names, "v", F.col("nm") if has_nm else F.lit(False).alias("nm")).mapInArrow(run, schema)
+
+
 class Series:
     """See the module; build one with of, from_df or from a frame."""
 
@@ -104,14 +124,22 @@ class Series:
         return list(self.iterator())
 
     def iterator(self) -> Iterator[tuple]:
-        for r in self.df.orderBy(*self.order).toLocalIterator():
+        for r in self.df.orderBy(*self.order).select("__k", "v", *(["nm"] if self.has_nm else [])).toLocalIterator():
             yield r["__k"], local_cell(r["v"], self.has_nm and r["nm"])
 
     def dense_iterator(self) -> Iterator[tuple]:
-        return ((r["__k"], r["v"]) for r in self.df.where("v is not null").orderBy(*self.order).toLocalIterator())
+        return ((r["__k"], r["v"]) for r in self.df.where("v is not null").orderBy(*self.order).select("__k", "v").toLocalIterator())
+
+    def map_parts(self, f: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+        """The tuples that f gives for the (key, cell) pairs of each part, on the executors, in no order."""
+        return _by_parts(self.df, ["__k"], self.has_nm, f, schema)
+
+    def map_places(self, f: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+        """Likewise of (place, key, cell) triples: the places of all cells from 0, in order within each part."""
+        return _by_parts(positions.dense(self.df, self.order), ["__at", "__k"], self.has_nm, f, schema)
 
     def keys(self) -> list:
-        return [k for k, _ in self.iterator()]
+        return [r["__k"] for r in self.df.orderBy(*self.order).select("__k").toLocalIterator()]
 
     def cells(self) -> list:
         return [c for _, c in self.iterator()]

@@ -258,3 +258,22 @@ def test_places_do_not_depend_on_how_a_sort_is_cut(spark, monkeypatch):
     assert {r["v"]: r["__at"] for r in positions.dense(df, ["text", "v"]).collect()} == want
     alone = positions.single_position(df.withColumn("w", F.col("v")), ["text", "v"])
     assert [r["w"] for r in alone.orderBy("__pos").select("w").collect()] == sorted(want, key=want.get)
+
+
+@pytest.mark.parametrize("name", ["series_iterator", "series_keys_cells_values", "series_foreach"])
+def test_traversals_send_no_cells_to_the_driver(spark, name, monkeypatch):
+    """No cell is fetched by the driver's iterator; they stay on the executors."""
+    from lattica import catalog
+
+    cells = spark.range(0, 70, 1, 3).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("user_id"), F.lit("error").alias("event_type"), (F.col("id") / 4).alias("value"))
+    monkeypatch.setattr(catalog, "_table", lambda *_: cells)
+    monkeypatch.setattr(type(cells), "toLocalIterator", lambda self, *a: pytest.fail("cells on the driver"))
+    got = catalog.queries()[name](spark, "")
+    monkeypatch.undo()
+    values = {i: i / 4 for i in range(70) if i % 7 and i % 11}
+    if name == "series_iterator":
+        assert sorted(map(tuple, got.collect())) == [(i, i, None if i not in values else round(i / 4, 3), bool(i % 7) and i % 11 == 0) for i in range(70)]
+    elif name == "series_foreach":
+        assert got.first().asDict() == {"pairs": 70, "dense": len(values), "keys": sum(range(70)), "cells": 70, "total": sum(values.values())}
+    else:
+        assert got.first().asDict() == {"keys": 70, "cells": 70, "n_values": len(values), "total": sum(values.values()), "dense_keys": sum(values)}
