@@ -32,6 +32,9 @@ class _Missing:
         return self.name
 
 
+#: See _dealt_by_key.
+LARGE, PART_ROWS = 16 << 20, 500_000
+
 NA, NM = _Missing("NA"), _Missing("NM")
 
 
@@ -56,6 +59,15 @@ def _by_parts(df: DataFrame, names: Sequence[str], has_nm: bool, f: Callable[[It
     return df.select(*names, "v", F.col("nm") if has_nm else F.lit(False).alias("nm")).mapInArrow(run, schema)
 
 
+def _dealt_by_key(df: DataFrame) -> DataFrame:
+    """df in parts of about PART_ROWS rows by key if it is over LARGE bytes and most keys stand once: sums made before a shuffle
+    then merge little, and a task would hold as many as it reads."""
+    if df.isStreaming or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= LARGE:
+        return df
+    n, keys = df.agg(F.count("*"), F.approx_count_distinct("__k")).first()
+    return df.repartition(-(-n // PART_ROWS), "__k") if 2 * keys > n else df
+
+
 class Series:
     """See the module; build one with of, from_df or from a frame."""
 
@@ -371,6 +383,8 @@ class Series:
             order = [F.col(c).desc() if last else F.col(c).asc() for c in self.order]
             over = Window.partitionBy("__k").orderBy(cell.is_na, *order)
             df = df.withColumn("__rank", F.row_number().over(over)).where(F.col("__rank") <= n)
+        else:
+            df = _dealt_by_key(df)
         got = r.agg(cell, positions.order_struct(self.order))
         out = df.groupBy("__k").agg(got.v.alias("v"), *([got.nm.alias("nm")] if got.nm is not None else []))
         return Series(out, ["__k"])

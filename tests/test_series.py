@@ -277,3 +277,15 @@ def test_traversals_send_no_cells_to_the_driver(spark, name, monkeypatch):
         assert got.first().asDict() == {"pairs": 70, "dense": len(values), "keys": sum(range(70)), "cells": 70, "total": sum(values.values())}
     else:
         assert got.first().asDict() == {"keys": 70, "cells": 70, "n_values": len(values), "total": sum(values.values()), "dense_keys": sum(values)}
+
+
+def test_different_keys_are_dealt_to_parts_of_so_many_rows(spark, monkeypatch):
+    from lattica.plans import series
+
+    monkeypatch.setattr(series, "LARGE", 100)
+    monkeypatch.setattr(series, "PART_ROWS", 50)
+    rows = spark.range(0, 1000, 1, 1)
+    for keys, dealt in ((900, True), (5, False)):
+        s = Series.from_df(rows, F.col("id") % keys, "id", "id").sum_by_key()
+        assert dict(s.to_list()) == {k: sum(range(k, 1000, keys)) for k in range(keys)}
+        assert ("REPARTITION_BY_NUM" in s.df._jdf.queryExecution().toString()) == dealt
